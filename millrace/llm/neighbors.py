@@ -131,72 +131,74 @@ def _pairs(rows: np.ndarray, first: int, last: int, cut: float, keep: int) -> tu
 def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, dim: int = 64, orderings: int = ORDERINGS, seed: int = 20) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: for every id its at most ``k`` most similar others with a cosine of at least ``min_cosine``."""
     vector = F.col(vector_col).cast("array<float>")
-    rows = df.select(F.col(id_col).alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    top, low = F.array_max("v"), F.array_min("v")
+    sound = ~F.isnan(top) & (top < float("inf")) & (low > float("-inf")) & ((top > 0) | (low < 0)) & ~F.exists("v", lambda x: x.isNull())
+    rows = df.select(F.col(id_col).alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim)).where(sound)
     rows = rows.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
-    # one row per different vector; h alone joins, as an unlike vector under the same h only adds a candidate
-    unique = rows.groupBy("h", "g").agg(F.first("v").alias("v"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    unique = unique.repartition("h")
+    # one row per different vector under a key of 128 bits; every later use has this partitioning and reuses this shuffle
+    unique = rows.groupBy("h", "g").agg(F.first("v").alias("v"))
     shapes = curves(dim, orderings, seed=seed)
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            norm = np.linalg.norm(x, axis=1)
-            ok = np.isfinite(norm) & (norm > 0)
-            if not ok.any():
+            x = _matrix(batch.column(2), dim)
+            if not len(x):
                 continue
-            x, h = x[ok] / norm[ok, None], batch.column(0).to_numpy()[ok]
+            x /= np.abs(x).max(axis=1, keepdims=True)  # else the squares of tiny or huge numbers leave float32
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             packed = sketch(x)
             width = packed.shape[1]
             s = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
             for o, curve in enumerate(shapes):
                 key = curve_keys(x, curve) | (o << (CURVE_DIMS * CURVE_BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), s], names=["key", "h", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1), s], names=["key", "h", "g", "s"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = np.empty(0, np.int64), None
+        h, g, m = np.empty(0, np.int64), np.empty(0, np.int64), None
 
         def found(first: int, last: int) -> pa.RecordBatch:
             i, j = _pairs(m, first, last, min_cosine - SKETCH_SLACK, 2 * k)
-            a, b = ids[i], ids[j]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            differ = (h[i] != h[j]) | (g[i] != g[j])
+            i, j = i[differ], j[differ]
+            swap = (h[i] > h[j]) | (h[i] == h[j]) & (g[i] > g[j])
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], g[i], h[j], g[j])], names=["ha", "ga", "hb", "gb"])
 
         for batch in batches:
-            raw = batch.column(2)
+            raw = batch.column(3)
             x = unsketch(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(raw), -1))
-            ids = np.concatenate((ids, batch.column(1).to_numpy()))
+            h, g = np.concatenate((h, batch.column(1).to_numpy())), np.concatenate((g, batch.column(2).to_numpy()))
             m = x if m is None else np.concatenate((m, x))
-            if len(ids) >= 4096 + WINDOW:
-                done = len(ids) - WINDOW
+            if len(h) >= 4096 + WINDOW:
+                done = len(h) - WINDOW
                 yield found(0, done)
-                ids, m = ids[done:], m[done:]
-        if len(ids):
-            yield found(0, len(ids))
+                h, g, m = h[done:], g[done:], m[done:]
+        if len(h):
+            yield found(0, len(h))
 
-    keyed = unique.select("h", "v").mapInArrow(orders, "key long, h long, s binary")
+    keyed = unique.mapInArrow(orders, "key long, h long, g long, s binary")
     ranged = keyed.repartitionByRange("key").sortWithinPartitions("key")
-    candidates = ranged.mapInArrow(windows, "a long, b long").where("a <> b").distinct()
+    candidates = ranged.mapInArrow(windows, "ha long, ga long, hb long, gb long").distinct()
 
-    side = lambda x: unique.select(F.col("h").alias(x), F.col("g").alias(f"g{x}"), F.col("v").alias(f"v{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"))
-    full = candidates.join(side("a"), "a").join(side("b"), "b")
+    # of equal vectors the k + 1 smallest ids; the rank is cut before the shuffle, so a hot vector sends few rows
+    copies = Window.partitionBy("h", "g").orderBy("id")
+    members = rows.select("h", "g", "id").withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1)
+    lists = members.groupBy("h", "g").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+    side = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
+    a_side = candidates.join(side(unique, "a"), ["ha", "ga"]).join(side(lists, "a"), ["ha", "ga"])
+    full = a_side.join(side(unique, "b"), ["hb", "gb"]).join(side(lists, "b"), ["hb", "gb"])
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    exact = full.withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine).select("a", "ga", "loa", "hia", "b", "gb", "lob", "hib", "cosine")
-
-    # copies: the k + 1 smallest ids of every vector that stands under several
-    several = unique.where("lo <> hi").select("h", "g")
-    order = Window.partitionBy("h", "g").orderBy("id")
-    members = rows.join(several, ["h", "g"], "left_semi").select("h", "g", "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = members.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    usable = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(float("nan"))).cast("double") * x)
-    sound = unique.where("lo <> hi").where((usable > 0) & ~F.isnan(usable) & (usable < float("inf"))).select("h", "g")
-    twins = lists.join(sound, ["h", "g"], "left_semi").select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("neighbour")).where("id <> neighbour").withColumn("cosine", F.lit(1.0))
-    named = lambda x: lists.select(F.col("h").alias(x), F.col("g").alias(f"g{x}"), F.col("ids").alias(f"ids{x}"))
-    wide = exact.join(named("a"), ["a", "ga"], "left").join(named("b"), ["b", "gb"], "left")
-    edges = wide.select(F.explode(F.coalesce("idsa", F.array("loa"))).alias("id"), F.coalesce("idsb", F.array("lob")).alias("other"), "cosine").select("id", F.explode("other").alias("neighbour"), "cosine").where("id <> neighbour")
-    both = edges.unionByName(edges.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "cosine")).unionByName(twins)
+    exact = full.withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine)
+
+    one_way = exact.select("idsa", "idsb", "cosine")
+    twins = lists.where(F.size("ids") > 1).select(F.col("ids").alias("idsa"), F.col("ids").alias("idsb"), F.lit(1.0).alias("cosine"))
+    both = one_way.unionByName(exact.select(F.col("idsb").alias("idsa"), F.col("idsa").alias("idsb"), "cosine")).unionByName(twins)
+    edges = both.select(F.explode("idsa").alias("id"), "idsb", "cosine").select("id", F.explode("idsb").alias("neighbour"), "cosine").where("id <> neighbour")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return both.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    grouped = edges.repartition("id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    return grouped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def mutual_pairs(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, **options) -> DataFrame:
