@@ -212,9 +212,14 @@ def merge_summaries(summaries: DataFrame, groups: Sequence[str], size: int, fan_
     return first.repartition(*groups).mapInArrow(tree, schema)
 
 
+def tuples(epsilon: float) -> int:
+    """Tuples a summary keeps for an error of ``epsilon``."""
+    return int(np.ceil(2 / epsilon))
+
+
 def summarize(df: DataFrame, value: str, groups: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
     """``groups + (values, lo, hi)``: the rank-interval summary of each group."""
-    size = int(np.ceil(2 / epsilon))
+    size = tuples(epsilon)
     return merge_summaries(partial_summaries(df, value, groups, size), groups, size)
 
 

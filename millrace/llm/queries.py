@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.plans.runtime import table
+from millrace.plans.runtime import checkpoint, table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.pairs import broken_pairs
+
+    return broken_pairs(table(spark, d, "answers"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,10 +23,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    from millrace.llm.quantiles import once, percentiles, summarize
+    """Percentiles of each operation by day, and of all its days (null day), merged from the days' summaries."""
+    from millrace.llm.quantiles import EPSILON, merge_summaries, once, percentiles, summarize, tuples
+
+    log = table(spark, d, "latency_metrics").withColumn("day", F.to_date("timestamp"))
+    rows = once(log, "metric_id", ["operation_name", "day", "duration_ms"])
+    days = checkpoint(summarize(rows, "duration_ms", ["operation_name", "day"]))
+    total = merge_summaries(days, ["operation_name"], tuples(EPSILON)).withColumn("day", F.lit(None).cast("date"))
+    return percentiles(days.unionByName(total), ["operation_name", "day"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.language import label_issues
 
-    rows = once(table(spark, d, "latency_metrics"), "metric_id", ["operation_name", "duration_ms"])
-    return percentiles(summarize(rows, "duration_ms", ["operation_name"]), ["operation_name"])
+    return label_issues(table(spark, d, "chunks"), table(spark, d, "document_metadata"), table(spark, d, "lang_samples"))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and passages of every chunk."""
+    from millrace.llm.language import chunk_languages, fit
+
+    return chunk_languages(table(spark, d, "chunks"), fit(table(spark, d, "lang_samples"))).select("chunk_id", "language", "confidence", "passages")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +52,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.lookalike import same_look_pairs
 
@@ -35,7 +65,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_percentiles, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p4_found, p4_languages, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
