@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.plans.runtime import checkpoint
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     # Cyrillic
@@ -174,10 +176,9 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_a, id_b)``, smaller id first: rows whose stored texts differ while their forms are equal."""
     forms = canonical(df, id_col, text_col).where("form <> ''")
-    keys = forms.select(F.col(id_col).alias("id"), F.md5("form").alias("fk"), F.md5("text").alias("tk")).distinct()
+    keys = forms.select(F.col(id_col).alias("id"), F.unhex(F.md5("form")).alias("fk"), F.unhex(F.md5("text")).alias("tk")).where("id is not null")
+    keys = checkpoint(keys)  # the texts are folded once; what is kept are 40 bytes a row
     several = keys.groupBy("fk").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo <> hi").select("fk")
-    from millrace.plans.runtime import checkpoint
-
-    some = checkpoint(keys.join(several, "fk", "left_semi"))
+    some = keys.join(several, "fk", "left_semi")
     a, b = some.select("fk", F.col("id").alias(f"{id_col}_a"), F.col("tk").alias("ta")), some.select("fk", F.col("id").alias(f"{id_col}_b"), F.col("tk").alias("tb"))
     return a.join(b, "fk").where((F.col("ta") != F.col("tb")) & (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))).select(f"{id_col}_a", f"{id_col}_b").distinct()
