@@ -247,7 +247,7 @@ def other_language(answer: str, query: str | None) -> bool:
         return False
     by = languages(answer)
     said = max(by, key=by.get) if by else None
-    return said is not None and said != asked and by[said] > 1.2 * by.get(asked, 0)
+    return said is not None and said != asked and by[said] > by.get(asked, 0)
 
 
 def _shape(word: str) -> str:
