@@ -46,6 +46,19 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
     return chunk_languages(table(spark, d, "chunks"), fit(table(spark, d, "lang_samples"))).select("chunk_id", "language", "confidence", "passages")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.ocr import find_noise
+
+    return find_noise(table(spark, d, "chunks"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's text in its repaired form."""
+    from millrace.llm.ocr import repair
+
+    return repair(table(spark, d, "chunks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.encode import encode_corpus
 
@@ -65,7 +78,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p4_found, p4_languages, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p4_found, p4_languages, p5_found, p5_repaired, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
