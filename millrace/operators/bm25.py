@@ -9,17 +9,26 @@ whole numbers of 1e-9, which makes ties and ranks independent of the order of ad
 from __future__ import annotations
 
 import dataclasses
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.text import tokenize
+from millrace.operators.topk import ROWS, StreamTopK
 from millrace.plans.errors import BM25RetrievalError
 from millrace.plans.runtime import checkpoint
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCALE = 10**9
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 50_000
 
 
 @dataclasses.dataclass
@@ -84,3 +93,77 @@ def topk(index: BM25Index, queries: DataFrame, query_id: str = "query_id", text:
     zero = some.crossJoin(F.broadcast(first)).join(hit.select("query_id", "pos"), ["query_id", "pos"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return hit.unionByName(zero).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def topk_scan(index: BM25Index, docs: DataFrame, queries: DataFrame, pos: str, text: str, query_id: str = "query_id", query: str = "query", k: int = 50) -> DataFrame:
+    """:func:`topk` for many queries: one pass over the documents instead of a join with their postings.
+
+    With thousands of queries nearly every document shares a word with each of them, and a join would shuffle the
+    product. Here the queries, a stated set, are sent in blocks of ``QUERY_BLOCK``; each task scores its documents
+    against them block by block and shuffles the best ``k`` of each query only. The result is the same.
+    """
+    if k < 0:
+        raise BM25RetrievalError("k must not be negative")
+    spark = docs.sparkSession
+    asked = queries.select(F.col(query_id).alias("q"), tokenize(F.col(query)).alias("w")).where(F.size("w") > 0)
+    wanted = asked.select(F.explode("w").alias("term")).distinct()
+    idf = {r["term"]: r["idf"] for r in index.terms.join(wanted, "term", "left_semi").toLocalIterator()}  # words of the queries
+    avgdl = index.corpus.first()["avgdl"] or 1.0
+    blocks: list[list] = [[]]
+    for r in asked.toLocalIterator():
+        if len(blocks[-1]) == QUERY_BLOCK:
+            blocks.append([])
+        blocks[-1].append((r["q"], r["w"]))
+    kinds = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("pos", docs.schema[pos].dataType), T.StructField("score", T.DoubleType())])
+    rows = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("words"))
+
+    def one(block: list) -> DataFrame:
+        term_of: dict[str, int] = {}
+        hits: list[list[tuple[int, float]]] = []
+        for i, (_, words) in enumerate(block):
+            for w, n in Counter(words).items():
+                if w in idf:
+                    t = term_of.setdefault(w, len(term_of))
+                    if t == len(hits):
+                        hits.append([])
+                    hits[t].append((i, n * idf[w]))
+        by_term = [(np.array([i for i, _ in h]), np.array([v for _, v in h])) for h in hits]
+        sent = spark.sparkContext.broadcast(([q for q, _ in block], term_of, by_term))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, term_of, by_term = sent.value
+            best = StreamTopK(len(ids), k)
+            for batch in batches:
+                for a in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(a, ROWS)
+                    _score_block(best, np.array(part.column(0).to_pylist()), part.column(1).to_pylist(), term_of, by_term, avgdl)
+            yield from best.rows(ids, kinds, SCALE)
+
+        return rows.mapInArrow(run, kinds)
+
+    found = reduce(DataFrame.unionByName, map(one, blocks))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _score_block(best: StreamTopK, names: np.ndarray, words: list[list[str]], term_of: dict[str, int], by_term: list, avgdl: float) -> None:
+    n = len(names)
+    get = term_of.get
+    cells = np.array([t * n + d for d, ws in enumerate(words) for w in ws if (t := get(w)) is not None], np.int64)
+    cells, tf = np.unique(cells, return_counts=True)
+    term, doc = cells // n, cells % n
+    dl = np.array([len(ws) for ws in words], np.float64)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+    starts = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, int)
+    runs = list(zip(starts, [*starts[1:], len(term)]))
+
+    def scores(a: int, b: int) -> np.ndarray:
+        s = np.zeros((b - a, n), np.int64)
+        for x, y in runs:
+            q, v = by_term[term[x]]
+            i, j = np.searchsorted(q, (a, b))
+            if i < j:
+                s[(q[i:j] - a)[:, None], doc[x:y]] += np.rint(v[i:j, None] * weight[x:y] * SCALE).astype(np.int64)
+        return s
+
+    best.add(scores, names)

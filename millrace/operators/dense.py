@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.operators.topk import ROWS, StreamTopK
 from millrace.plans.errors import DenseRetrievalError, VectorStoreError
 
 BLOCK_ROWS = 50_000
-#: Queries multiplied at once; bounds the memory of a product.
-SLICE = 1_000
 DIGITS = 9
 
 
@@ -50,45 +49,13 @@ def search(vectors: DataFrame, queries: DataFrame, pos: str, vector: str, query_
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            n = len(ids)
-            floor = np.full(n, -np.inf)
-            held_q, held_p, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            names: list = []
+            best = StreamTopK(len(ids), k)
             for batch in batches:
-                x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-                at = len(names)
-                names += batch.column(0).to_pylist()
-                parts = [(held_q, held_p, held_s)]
-                for a in range(0, n, SLICE):
-                    s = np.round(matrix[a : a + SLICE] @ x.T, DIGITS)
-                    least = floor[a : a + SLICE]
-                    if s.shape[1] > k > 0:
-                        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
-                    i, j = np.nonzero(s >= least[:, None])
-                    parts.append((i + a, j + at, s[i, j]))
-                q, p, s = (np.concatenate(z) for z in zip(*parts))
-                # equal scores are held until their positions can be compared
-                order = np.lexsort((-s, q))
-                q, p, s = q[order], p[order], s[order]
-                first = np.searchsorted(q, np.arange(n))
-                place = np.arange(len(q)) - first[q]
-                kth = np.full(n, -np.inf)
-                full = place == k - 1
-                kth[q[full]] = s[full]
-                keep = s >= kth[q]
-                held_q, held_p, held_s = q[keep], p[keep], s[keep]
-                floor = kth
-                if len(names) > 200_000:  # names of rows that no query holds are let go
-                    used = np.unique(held_p)
-                    names = [names[i] for i in used]
-                    held_p = np.searchsorted(used, held_p)
-            if len(held_q) and k:
-                from pyspark.sql.pandas.types import to_arrow_schema
-
-                schema = to_arrow_schema(kinds)
-                for a in range(0, len(held_q), 100_000):
-                    z = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in held_q[z]], schema.field(0).type), pa.array([names[i] for i in held_p[z]], schema.field(1).type), pa.array(held_s[z])], schema=schema)
+                for a in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(a, ROWS)
+                    x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)).T
+                    best.add(lambda i, j, x=x: np.rint(matrix[i:j] @ x * 10.0**DIGITS).astype(np.int64), np.array(part.column(0).to_pylist()))
+            yield from best.rows(ids, kinds, 10.0**DIGITS)
 
         return rows.mapInArrow(run, kinds)
 

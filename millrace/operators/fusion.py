@@ -38,10 +38,13 @@ def rrf(lists: list[DataFrame], constant: int = CONSTANT, k: int | None = None)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def hybrid(index: bm25.BM25Index, vectors: DataFrame, queries: DataFrame, pos: str, vector: str, k: int = 30, threshold: float | None = None, dense_k: int = 50, bm25_k: int = 50, constant: int = CONSTANT, query_id: str = "query_id", text: str = "query", query_vector: str = "query_embedding", dim: int = 64) -> DataFrame:
-    """Both rankings of each query, fused: vectors first, so their order decides ties."""
+def hybrid(index: bm25.BM25Index, vectors: DataFrame, queries: DataFrame, pos: str, vector: str, k: int = 30, threshold: float | None = None, dense_k: int = 50, bm25_k: int = 50, constant: int = CONSTANT, query_id: str = "query_id", text: str = "query", query_vector: str = "query_embedding", dim: int = 64, docs_text: str | None = None) -> DataFrame:
+    """Both rankings of each query, fused: vectors first, so their order decides ties.
+
+    With ``docs_text`` (the column of ``vectors`` that holds the text) the words are matched by a scan, for many queries.
+    """
     if k < 0:
         raise RetrievalError("k must not be negative")
     near = dense.search(vectors, queries, pos, vector, query_id, query_vector, dense_k, threshold, dim)
-    words = bm25.topk(index, queries, query_id, text, bm25_k)
+    words = bm25.topk(index, queries, query_id, text, bm25_k) if docs_text is None else bm25.topk_scan(index, vectors, queries, pos, docs_text, query_id, text, bm25_k)
     return rrf([near, words], constant, k)

@@ -94,7 +94,7 @@ def bm25_corpus_stats(spark, d):
 
 @register(f"WITH {_CORPUS}, {_ITEMS}, {_BM25}, {_TOPK} SELECT query_id, pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM scored QUALIFY rank <= 50")
 def bm25_batch_topk(spark, d):
-    return bm25.topk(_docs(spark, d), _items(spark, d), k=50).select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return bm25.topk_scan(_docs(spark, d), table(spark, d, "documents"), _items(spark, d), "doc_id", "text", k=50).select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _ONE = "How long may oyster meat stay in the cold store, and who signs the form for the oyster meat?"
@@ -203,7 +203,7 @@ both_ AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pos, b
 def hybrid_topk(spark, d):
     chunks = _chunks(spark, d, ["text", "embedding"])
     index = bm25.build(chunks, "chunk_id", "text")
-    found = fusion.hybrid(index, chunks, _query_vectors(spark, d), "chunk_id", "embedding", k=30)
+    found = fusion.hybrid(index, chunks, _query_vectors(spark, d), "chunk_id", "embedding", k=30, docs_text="text")
     return found.select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
