@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from millrace.functions.text import tokenize
 from millrace.operators.topk import ROWS, StreamTopK
 from millrace.plans.errors import BM25RetrievalError
-from millrace.plans.runtime import checkpoint
+from millrace.plans.runtime import checkpoint, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCALE = 10**9
@@ -52,7 +52,7 @@ def build(docs: DataFrame, pos: str, text: str, keep: bool = True) -> BM25Index:
 
     With ``keep`` the postings and the small tables are checkpointed, so that queries do not read the texts again.
     """
-    words = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("words"))
+    words = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
     lengths = words.select("pos", F.size("words").alias("dl"))
     postings = words.select("pos", F.explode("words").alias("term")).groupBy("term", "pos").agg(F.count("*").alias("tf"))
     if keep:
@@ -115,7 +115,7 @@ def topk_scan(index: BM25Index, docs: DataFrame, queries: DataFrame, pos: str, t
             blocks.append([])
         blocks[-1].append((r["q"], r["w"]))
     kinds = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("pos", docs.schema[pos].dataType), T.StructField("score", T.DoubleType())])
-    rows = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("words"))
+    rows = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
 
     def one(block: list) -> DataFrame:
         term_of: dict[str, int] = {}

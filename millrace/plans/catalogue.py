@@ -214,7 +214,7 @@ SELECT query_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION BY
 def rrf_fuse(spark, d):
     """Keyword ranks fused with a ranking of all documents by length."""
     docs = table(spark, d, "documents")
-    words = bm25.topk(_docs(spark, d), _items(spark, d), k=50)
+    words = bm25.topk_scan(_docs(spark, d), docs, _items(spark, d), "doc_id", "text", k=50)
     longest = docs.select(F.col("doc_id").alias("pos"), F.coalesce("n_chars", F.lit(0)).alias("n")).orderBy(F.desc("n"), "pos").limit(50)
     from pyspark.sql.window import Window
 
@@ -228,7 +228,7 @@ n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id), o AS (SELECT a.
 SELECT query_id, pos, round(hits / n, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY hits / n DESC, before) AS rank FROM o JOIN n USING (query_id) QUALIFY rank <= 6""")
 def rerank_topk(spark, d):
     docs, items = table(spark, d, "documents"), _items(spark, d)
-    found = bm25.topk(_docs(spark, d), items, k=30)
+    found = bm25.topk_scan(_docs(spark, d), docs, items, "doc_id", "text", k=30)
     pairs = found.join(docs.select(F.col("doc_id").alias("pos"), F.col("text").alias("document")), "pos").join(items, "query_id")
     return rerank.rerank(pairs, top_k=6).select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 

@@ -53,6 +53,21 @@ def drop_checkpoints(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is small and comes from fewer files than there are cores.
+
+    Work per row on a table of one file would run in one task. Larger tables are split by the scan and left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if int(str(plan.stats().sizeInBytes())) > cores * part:
+        return df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
