@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.runtime import spread
+
 #: The pre-tokenising pattern that belongs to the vocabulary file (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -128,7 +130,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
 
-    narrow = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    narrow = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")))
     schema = T.StructType([narrow.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return narrow.mapInArrow(run, schema)
 

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.runtime import checkpoint, spread
+
 ORDERS = 3
 FEATURES = 1 << 15
 LANDMARKS = 120
@@ -213,7 +215,7 @@ def read_languages(df: DataFrame, model: Classifier, text: str, carry: list[str]
     """``carry`` columns and ``counts, language, confidence, mixed, passages`` of each row's text."""
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    narrow = df.select(*carry, F.col(text).cast("string").alias("__text"))
+    narrow = spread(df.select(*carry, F.col(text).cast("string").alias("__text")))
     schema = T.StructType([*[narrow.schema[c] for c in carry], *T._parse_datatype_string("counts array<int>, language string, confidence double, mixed array<string>, passages array<struct<start:int,language:string,confidence:double>>").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +251,6 @@ def document_languages(chunks: DataFrame, model: Classifier) -> DataFrame:
 
 def label_issues(chunks: DataFrame, documents: DataFrame, samples: DataFrame) -> DataFrame:
     """``(record_kind, record_id, issue, language)`` of all missing, wrong and mixed labels."""
-    from millrace.plans.runtime import checkpoint
-
     model = fit(samples)
     read = checkpoint(chunk_languages(chunks, model).select("chunk_id", "document_id", "label", "counts", "language", "confidence", "mixed"))  # the texts are scored once
     issue = lambda label: F.when(label_language(label).isNull(), "missing").when((label_language(label) != F.col("language")) & (F.col("confidence") >= DOUBT), "wrong")

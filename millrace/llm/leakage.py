@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.lookalike import mapping
+from millrace.plans.runtime import spread
 
 WINDOW = 15
 RUN, LONG_RUN, ONE_IN = 15, 30, 7
@@ -218,7 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
             filled = 0
         blocks[-1].append((r["k"], r["t"]))
         filled += n
-    narrow = docs.select(F.col(doc_id), F.col(doc_text).cast("string").alias("__text")).where("__text is not null")
+    narrow = spread(docs.select(F.col(doc_id), F.col(doc_text).cast("string").alias("__text")).where("__text is not null"))
 
     def one(block: list[tuple]) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(sorted(block, key=repr)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.plans.runtime import checkpoint
+from millrace.plans.runtime import checkpoint, spread
 
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
@@ -48,7 +48,7 @@ LOOKALIKES = {
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<font>")
 #: Compatibility decompositions that are drawn the same (besides width, spacing and presentation forms).
 SAME_COMPAT = {"℃", "℉", "…", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "Ĳ", "ĳ", "Ǉ", "ǈ", "ǉ", "Ǌ", "ǋ", "ǌ", "Ǳ", "ǲ", "ǳ", "µ", "№", "‼", "⁇", "⁈", "⁉", "′", "″"}
-JOINERS = "‌‍"
+JOINERS = "\u200c\u200d"
 BLOCKS = ((0x20, 0x24F), (0x600, 0x6FF), (0x2010, 0x2040), (0x20A0, 0x20BF))
 
 
@@ -59,11 +59,11 @@ def _steps(c: str) -> str:
     kind = unicodedata.category(c)
     if kind == "Zs":
         return " "
-    if c in "  \x85":
+    if c in "\u2028\u2029\x85":
         return "\n"
     if c in JOINERS:
         return c
-    if kind == "Cf" and not ("؀" <= c <= "؅" or c in "۝܏") or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or c in "͏ᅟᅠㅤﾠ᠋᠌᠍":
+    if kind == "Cf" and not ("\u0600" <= c <= "\u0605" or c in "\u06dd\u070f") or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or c in "\u034f\u115f\u1160\u3164\uffa0\u180b\u180c\u180d":
         return ""
     if kind == "Cc" and c not in "\t\n\r":
         return ""
@@ -118,17 +118,16 @@ def fold_text(text: str) -> str:
     text = _lines(_joiners(text))
     out, cluster = [], []
     for c in "".join(down.get(c, c) for c in text) + "\0":
-        if unicodedata.combining(c) and cluster:
-            cluster.append(c)
-            continue
-        s = "".join(cluster[:1] + sorted(cluster[1:], key=unicodedata.combining))
-        out.append(up.get(s, s))
-        cluster = [c]
+        if not unicodedata.combining(c):  # a starter begins a cluster, and sorts first within it
+            s = "".join(sorted(cluster, key=unicodedata.combining))
+            out.append(up.get(s) or up.get(s[:2], s[:2]) + s[2:])
+            cluster = []
+        cluster.append(c)
     return _lines("".join(out)).strip(" \t\n")
 
 
 # Contexts in which a joiner is seen, as patterns that both engines read alike.
-_LOOSE_JOINER = "(?<![ؠ-ۿ])‌|‌(?![ؠ-ۿ])|(?<![☀-➿️\U0001f000-\U0001faff])‍|‍(?![☀-➿\U0001f000-\U0001faff])"
+_LOOSE_JOINER = "(?<![ؠ-ۿ])\u200c|\u200c(?![ؠ-ۿ])|(?<![☀-➿\ufe0f\U0001f000-\U0001faff])\u200d|\u200d(?![☀-➿\U0001f000-\U0001faff])"
 _LINE_END = "[ \t]*(?:\r\n?|\n)"
 
 
@@ -148,7 +147,7 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id_col, text, form)``: every input row with the canonical form of its text."""
     spark = df.sparkSession
     inert = mapping()[2]
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     # the two commonest runs go first, as a class of many ranges costs far more per character
     rest = F.regexp_replace(F.regexp_replace("text", "[\t\n\r -~]+", ""), "[ء-غف-ي]+", "")
     active = rest.rlike(f"[^{inert}]")
@@ -167,7 +166,11 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # each row that starts a cluster is followed by its marks; clusters of one code point need no join
     marks = Window.partitionBy("__k", "base").orderBy("ccc", "pos", "sub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cluster = numbered.withColumn("cluster", F.array_join(F.collect_list("cp").over(marks), "")).withColumn("n", F.row_number().over(Window.partitionBy("__k", "base").orderBy("ccc", "pos", "sub"))).where("n = 1")
-    composed = cluster.join(F.broadcast(up), "cluster", "left").select("__k", "base", F.coalesce("composed", "cluster").alias("s"))
+    # a cluster that is no character as a whole is composed as far as its first mark
+    head = F.broadcast(up.select(F.col("cluster").alias("head"), F.col("composed").alias("begun")))
+    joined = cluster.join(F.broadcast(up), "cluster", "left").withColumn("head", F.when(F.length("cluster") > 2, F.substring("cluster", 1, 2))).join(head, "head", "left")
+    rest = F.concat("begun", F.substring("cluster", F.lit(3), F.length("cluster")))
+    composed = joined.select("__k", "base", F.coalesce("composed", rest, "cluster").alias("s"))
     rebuilt = composed.groupBy("__k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "s"))), lambda x: x["s"]), "").alias("__form"))
     folded = hot.join(rebuilt, "__k", "left").select(id_col, "text", tidy(F.coalesce("__form", F.lit(""))).alias("form"))
     return plain.unionByName(folded)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.runtime import checkpoint
+from millrace.plans.runtime import checkpoint, spread
 
 #: Share of all counted runs below which a run is left out; 1 / RARE bounds what is kept and broadcast.
 RARE = 2e-6
@@ -211,7 +211,7 @@ def language(text: str) -> dict[str, float]:
     """Votes by language."""
     got: dict[str, float] = {}
     votes = _votes()
-    arabic = sum("؀" <= c <= "ۿ" for c in text)
+    arabic = sum("\u0600" <= c <= "ۿ" for c in text)
     if arabic * 2 > sum(c.isalpha() for c in text):
         return {"ar": float(arabic)}
     for w in bare(text).split():
@@ -311,7 +311,7 @@ class Ends:
 
 
 def is_truncated(answer: str, ends: Ends) -> bool:
-    text = answer.strip().strip("​﻿⁠")
+    text = answer.strip().strip("\u200b\ufeff\u2060")
     if _UNIT.match(text):
         return False
     body = _SOURCE.sub("", text).rstrip()
@@ -336,7 +336,7 @@ def is_truncated(answer: str, ends: Ends) -> bool:
             stack.pop()
     if stack or body.count('"') % 2:
         return True
-    core = body.rstrip("\"'»”“)]} ‏‎*_")
+    core = body.rstrip("\"'»”“)]} \u200f\u200e*_")
     if not core:
         return False
     last = core[-1]
@@ -385,6 +385,7 @@ def broken_pairs(df: DataFrame, id_col: str = "answer_id", answer: str = "answer
     """``(id_col, defect)``, one row per defective answer."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col), F.col(answer).cast("string").alias("__a"), F.col(query).cast("string").alias("__q"), F.col(context).cast("boolean").alias("__c")).where(F.col(id_col).isNotNull())
+    rows = spread(rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for seen in end_counts(t for b in batches for t in b["__a"]):
