@@ -30,5 +30,5 @@ def get_logger(name: str, level: str = "INFO", path: str | None = None) -> loggi
     return logger
 
 
-def log(logger: logging.Logger, level: int, message: str, **fields) -> None:
+def log(logger: logging.Logger, level: int, message: str, /, **fields) -> None:
     logger.log(level, message, extra={"fields": fields})
