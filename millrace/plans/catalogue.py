@@ -295,10 +295,12 @@ def unique_queries(spark, d):
     return queryproc.unique_queries(queryproc.expand(_asked(spark, d))).select("query_id", F.col("ord").cast("long").alias("ord"), "query")
 
 
-@register()
+@register("""WITH a AS (SELECT answer_id, max(answer) AS answer FROM answers GROUP BY answer_id), m AS (SELECT answer_id, nullif(regexp_extract(answer, '(?s)\\[.*\\]'), '') AS m FROM a)
+SELECT answer_id, CASE WHEN m IS NOT NULL AND json_valid(m) THEN array_to_string(list_filter(list_transform(CAST(m AS JSON[]), lambda x: trim(x->>'$')), lambda y: y NOT IN ('', '0', 'false')), '|') END AS parsed FROM m""")
 def parse_expansions(spark, d):
     """JSON lists in the answers' texts (their source numbers)."""
-    return table(spark, d, "answers").groupBy("answer_id").agg(F.max("answer").alias("answer")).select("answer_id", queryproc.parse_expansions("answer").alias("parsed"))
+    answers = table(spark, d, "answers").groupBy("answer_id").agg(F.max("answer").alias("answer"))
+    return answers.select("answer_id", F.array_join(queryproc.parse_expansions("answer"), "|").alias("parsed"))
 
 
 # ---- metadata
@@ -395,10 +397,16 @@ def file_sizes(spark, d):
     return docs.select("document_id", F.round(F.col("file_size_mb") * 1048576 / 1048576, 6).alias("mb"), "page_count")
 
 
-@register()
+@register(f"""WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS doc, list_filter(regexp_split_to_array(coalesce(text, ''), '[{W}]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc, w, len(w) AS n, CAST(greatest(1, ceil((len(w) - 10) / 50.0)) AS BIGINT) AS whole FROM w WHERE len(w) > 0),
+c AS (SELECT doc, w, n, CASE WHEN whole > 1 AND n - (whole - 1) * 50 - 10 < 20 THEN whole - 1 ELSE whole END AS total_chunks FROM n),
+i AS (SELECT *, unnest(range(total_chunks)) AS chunk_index FROM c),
+p AS (SELECT *, w[chunk_index * 50 + 1 : CASE WHEN chunk_index = total_chunks - 1 THEN n ELSE chunk_index * 50 + 60 END] AS part FROM i)
+SELECT printf('%s_chunk_%04d', doc, chunk_index) AS chunk_id, total_chunks, len(part) AS token_count, array_to_string(part, ' ') AS text FROM p""")
 def window_chunks(spark, d):
     """Documents cut into windows of 60 words that share 10."""
-    return documents.window_chunks(table(spark, d, "documents"), "doc_id", "text", size=60, overlap=10, least=20)
+    cut = documents.window_chunks(table(spark, d, "documents"), "doc_id", "text", size=60, overlap=10, least=20)
+    return cut.select("chunk_id", F.col("total_chunks").cast("long").alias("total_chunks"), F.col("token_count").cast("long").alias("token_count"), "text")
 
 
 # ---- citations, contexts, prompts
