@@ -11,6 +11,7 @@ from millrace.functions import citations as C
 from millrace.functions import text as X
 from millrace.operators import bm25, cache, context, dense, documents, fusion, latency, metadata, queryproc, rerank
 from millrace.plans.runtime import table
+from millrace.streaming import latency as stream_latency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -472,6 +473,13 @@ def latency_summary(spark, d):
     return latency.summary(_log(spark, d))
 
 
+@register("SELECT operation_name, count(*) AS count, CAST(sum(CAST(duration_ms AS DECIMAL(24,4))) AS DOUBLE) AS total_ms, round(CAST(sum(CAST(duration_ms AS DECIMAL(24,4))) AS DOUBLE) / count(*), 6) AS average_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM latency_metrics WHERE duration_ms IS NOT NULL GROUP BY operation_name")
+def latency_summary_stream(spark, d):
+    """The summary of all deliveries (repeated ones too), run as a stream over the files."""
+    stream = stream_latency.read_metrics(spark, f"{d}/latency_metrics.parquet*")  # a file or a folder of files
+    return stream_latency.drain(stream_latency.running_summary(stream), "latency_summary")
+
+
 @register(f"WITH {_LOG} SELECT round(CAST(sum(CAST(duration_ms AS DECIMAL(24,4))) AS DOUBLE) / count(duration_ms), 6) AS average_ms FROM log WHERE operation_name = 'dense_retrieval'")
 def latency_average(spark, d):
     return latency.average(_log(spark, d), "dense_retrieval")

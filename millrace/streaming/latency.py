@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import latency
+from millrace.plans.runtime import shared_folder
 
 SCHEMA = "metric_id long, operation_name string, duration_ms double, timestamp timestamp_ntz, metadata map<string,string>, received_at timestamp_ntz"
 
@@ -20,6 +23,16 @@ def running_summary(metrics: DataFrame) -> DataFrame:
     return latency.summary(metrics)
 
 
+def drain(summary: DataFrame, name: str) -> DataFrame:
+    """Runs a summary over what the stream holds now and gives its table; the result is one row per operation."""
+    spark = summary.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    checkpoint = f"{shared_folder(spark)}/millrace-{spark.sparkContext.applicationId}/{table}"
+    query = summary.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    query.awaitTermination()
+    return spark.table(table)
+
+
 def windowed_summary(metrics: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Summaries by operation and time window, each id counted once among those that come at most ``late`` after."""
     timed = metrics.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["metric_id"])
