@@ -47,23 +47,27 @@ class BM25Index:
         return BM25Index(*(spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(BM25Index)))
 
 
-def build(docs: DataFrame, pos: str, text: str, keep: bool = True) -> BM25Index:
+def build(docs: DataFrame, pos: str, text: str, keep: bool = True, statistics_only: bool = False) -> BM25Index:
     """Index of ``docs``; ``pos`` is unique and orders equal scores. Null texts are documents without words.
 
-    With ``keep`` the postings and the small tables are checkpointed, so that queries do not read the texts again.
+    With ``keep`` the postings and the small tables are checkpointed, so that queries do not read the texts again;
+    ``statistics_only`` leaves the postings out of that, for :func:`topk_scan`, which does not use them.
     """
     words = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
     lengths = words.select("pos", F.size("words").alias("dl"))
     postings = words.select("pos", F.explode("words").alias("term")).groupBy("term", "pos").agg(F.count("*").alias("tf"))
-    if keep:
+    if keep and not statistics_only:
         postings, lengths = checkpoint(postings), checkpoint(lengths)
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    else:  # one row per document and word, counted before the shuffle
+        df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if keep:
+        size = checkpoint(size)
     raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("avg_idf"))
     if keep:
         raw = checkpoint(raw)
-        mean = raw.agg(F.avg("raw").alias("avg_idf"))
+    mean = raw.agg(F.avg("raw").alias("avg_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
     return BM25Index(postings, lengths, terms, size.crossJoin(F.broadcast(mean)))
 

@@ -65,8 +65,8 @@ hit AS (SELECT query_id, p.pos, sum(CAST(round(qtf * idf * (tf * 2.5 / (tf + 1.5
 scored AS (SELECT a.query_id, c.pos, coalesce(h.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM qt) a CROSS JOIN corpus c LEFT JOIN hit h ON h.query_id = a.query_id AND h.pos = c.pos)"""
 
 
-def _docs(spark: SparkSession, d: str) -> bm25.BM25Index:
-    return bm25.build(table(spark, d, "documents"), "doc_id", "text")
+def _docs(spark: SparkSession, d: str, statistics_only: bool = True) -> bm25.BM25Index:
+    return bm25.build(table(spark, d, "documents"), "doc_id", "text", statistics_only=statistics_only)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -104,14 +104,14 @@ _ONE = "How long may oyster meat stay in the cold store, and who signs the form
 @register(f"WITH {_CORPUS}, asked AS (SELECT 1 AS query_id, '{_ONE}' AS query), {_BM25}, {_TOPK} SELECT pos, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM scored QUALIFY rank <= 50")
 def bm25_topk(spark, d):
     one = spark.createDataFrame([(1, _ONE)], "query_id int, query string")
-    return bm25.topk(_docs(spark, d), one, k=50).select("pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return bm25.topk(_docs(spark, d, False), one, k=50).select("pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("SELECT doc_id AS pos, CAST(0 AS DOUBLE) AS score, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 10")
 def bm25_oov_padding(spark, d):
     """A query of unknown words gets the first documents with 0; one without any word gets none."""
     two = spark.createDataFrame([(1, "zzzunknownzzz qqqxxqq"), (2, "!!! ...")], "query_id int, query string")
-    return bm25.topk(_docs(spark, d), two, k=10).select("pos", "score", F.col("rank").cast("long").alias("rank"))
+    return bm25.topk(_docs(spark, d, False), two, k=10).select("pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---- vector search
@@ -203,7 +203,7 @@ both_ AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pos, b
 @register(f"{_HYBRID} SELECT query_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST) AS rank FROM both_ QUALIFY rank <= 30")
 def hybrid_topk(spark, d):
     chunks = _chunks(spark, d, ["text", "embedding"])
-    index = bm25.build(chunks, "chunk_id", "text")
+    index = bm25.build(chunks, "chunk_id", "text", statistics_only=True)
     found = fusion.hybrid(index, chunks, _query_vectors(spark, d), "chunk_id", "embedding", k=30, docs_text="text")
     return found.select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
