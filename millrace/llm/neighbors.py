@@ -5,14 +5,17 @@ orthogonal directions, maps every projection to the unit interval by the normal
 shifts the cube and gives each vector its Hilbert key. All orderings are range-partitioned by
 ``(ordering, key)`` and sorted in one shuffle; within a partition each vector is compared with the rows
 of its key window by one matrix product per block. What travels is a sketch of four bits a dimension.
-The windows' candidates are merged over the orderings and reranked with the full vectors.
+The windows' candidates are merged over the orderings and reranked with the full vectors. A row with more
+than ``CROWD`` candidates in a window lies in a dense group, where windows and sketches cannot tell the
+nearest: it and those candidates are compared with all rows in double precision instead, tile by tile.
 
 Copies of one vector are folded before (a third of all rows may be copies of one vector) and expanded
 after: of equal vectors only the ``k + 1`` smallest ids can be in any list of k, so the expansion is
 bounded and still exact. Cost: rows * orderings * (block + window) multiply-adds a dimension; shuffled
-are one copy of the vectors and ``orderings`` sketches a row. No pair of windows is ever broadcast.
+are one copy of the vectors and ``orderings`` sketches a row. No pair of windows is ever broadcast. Crowded
+rows cost crowded rows * rows multiply-adds a dimension on top, and a copy of their vectors a slice.
 
-Accuracy: a pair is lost only if no ordering brings it within a window; rows at the ends of a range
+Accuracy: a pair without a crowded row is lost only if no ordering brings it within a window; rows at the ends of a range
 partition see one side only, which another ordering makes up for.
 
 Defined cases: a vector counts if it is not null, has ``dim`` numbers, none of them null, NaN or
@@ -26,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ORDERINGS = 12
@@ -37,6 +42,12 @@ WINDOW = 256
 BLOCK = 256
 #: Allowance for the error of the four-bit sketches when candidates are cut by similarity.
 SKETCH_SLACK = 0.08
+#: A row with more candidates than this in one window is compared with all rows.
+CROWD = 64
+#: Crowded rows of one tile of the exact comparison.
+TILE = 32_768
+#: Allowance for the rounding of cosines in double precision.
+ROUNDING = 1e-13
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -108,24 +119,92 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def _pairs(rows: np.ndarray, first: int, last: int, cut: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows first..last with the rows of their window whose similarity is at least ``cut``, the best ``keep`` of each row."""
-    left, right = [], []
+def _pairs(rows: np.ndarray, first: int, last: int, cut: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of rows first..last with the rows of their window whose similarity is at least ``cut``, and the crowded rows:
+    those with more than ``most`` such rows, whose pairs are left to the exact comparison, and the other rows of these pairs."""
+    left, right, crowded = [], [], []
     for a in range(first, last, BLOCK):
         b = min(a + BLOCK, last)
         end = min(len(rows), b + WINDOW)
         s = rows[a:b] @ rows[a:end].T
         s[np.tri(b - a, end - a, dtype=bool)] = -2  # each pair once
         i, j = np.nonzero(s >= cut)
-        if len(i) > keep * (b - a) // 2:
-            full = np.flatnonzero(np.bincount(i, minlength=b - a) > keep)
-            if len(full):  # crowded rows keep the best only
-                best = np.argpartition(-s[full], keep, axis=1)[:, :keep]
-                mask = ~np.isin(i, full)
-                i, j = np.concatenate((i[mask], np.repeat(full, keep))), np.concatenate((j[mask], best.ravel()))
+        full = np.bincount(i, minlength=b - a)[i] > most
+        if full.any():
+            crowded.append(np.unique(np.concatenate((i[full], j[full]))) + a)
+            i, j = i[~full], j[~full]
         left.append(i + a)
         right.append(j + a)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int),) * 2
+    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in (left, right, crowded))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, added up in the order of the column expression, so that both give the same number."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+
+    def dot(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(p))
+        for d in range(p.shape[1]):
+            s = s + p[:, d] * q[:, d]
+        return s
+
+    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+
+def _exact(x: np.ndarray, y: np.ndarray, same: np.ndarray, order: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` the ``k`` most similar rows of ``y``: two index arrays and the cosines.
+    ``same`` is the row of ``y`` that is the row of ``x`` itself, or -1; ties go to the smaller ``order``."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        m = m.astype(np.float64)
+        m /= np.abs(m).max(axis=1, keepdims=True)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    u, v = unit(x), unit(y).T
+    left, right, cosines = [], [], []
+    for a in range(0, len(x), BLOCK):
+        s = u[a : a + BLOCK] @ v
+        own = same[a : a + BLOCK]
+        s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+        low = np.full(len(s), least) if len(y) <= k else np.maximum(np.partition(s, -k, axis=1)[:, -k], least)
+        i, j = np.nonzero(s >= low[:, None] - ROUNDING)
+        for part in np.array_split(np.arange(len(i)), len(i) // 1_000_000 + 1):
+            c = _cosines(x[a + i[part]], y[j[part]])
+            left.append(a + i[part]), right.append(j[part]), cosines.append(c)
+    i, j, c = (np.concatenate(z) if z else np.empty(0, t) for z, t in ((left, int), (right, int), (cosines, float)))
+    by = np.lexsort((order[j], -c, i))
+    i, j, c = i[by], j[by], c[by]
+    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+    kept = (place < k) & (c >= least)
+    return i[kept], j[kept], c[kept]
+
+
+def _crowded_lists(unique: DataFrame, crowded: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+    """``(ha, ga, hb, gb, cosine)``: the ``k`` most similar different vectors of each crowded one, by comparison with all.
+
+    Pieces of the crowded rows meet slices of all rows in tiles; without crowded rows nothing is sent.
+    """
+    slices = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = F.broadcast(crowded.agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces")).where("pieces > 0"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    ask = unique.join(crowded, ["h", "g"]).crossJoin(pieces).select(F.lit(True).alias("asks"), "h", "g", "id", "v", F.pmod("h", "pieces").cast("int").alias("piece"), numbers(F.lit(slices)).alias("slice"))
+    told = unique.crossJoin(pieces).select(F.lit(False).alias("asks"), "h", "g", "id", "v", numbers(F.col("pieces")).alias("piece"), F.pmod("h", F.lit(slices)).cast("int").alias("slice"))
+    names = ["ha", "ga", "hb", "gb", "idb", "cosine"]
+
+    def tile(t: pa.Table) -> pa.Table:
+        a, b = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+        x, y = (_matrix(z["v"].combine_chunks(), dim) for z in (a, b))
+        place = {key: i for i, key in enumerate(zip(b["h"].to_pylist(), b["g"].to_pylist()))}
+        same = np.array([place.get(key, -1) for key in zip(a["h"].to_pylist(), a["g"].to_pylist())], np.int64)
+        order = np.empty(len(y), np.int64)
+        order[pc.sort_indices(b["id"]).to_numpy()] = np.arange(len(y))
+        i, j, c = _exact(x, y, same, order, k, least) if len(x) and len(y) else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table([a["h"].take(i), a["g"].take(i), b["h"].take(j), b["g"].take(j), b["id"].take(j), pa.array(c)], names=names)
+
+    kinds = [T.LongType()] * 4 + [unique.schema["id"].dataType, T.DoubleType()]
+    met = ask.unionByName(told).groupBy("piece", "slice").applyInArrow(tile, T.StructType(list(map(T.StructField, names, kinds))))
+    best = Window.partitionBy("ha", "ga").orderBy(F.desc("cosine"), "idb")
+    return met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "idb")
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, dim: int = 64, orderings: int = ORDERINGS, seed: int = 20) -> DataFrame:
@@ -136,7 +215,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
     rows = df.select(F.col(id_col).alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim)).where(sound)
     rows = rows.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
     # one row per different vector under a key of 128 bits; every later use has this partitioning and reuses this shuffle
-    unique = rows.groupBy("h", "g").agg(F.first("v").alias("v"))
+    unique = rows.groupBy("h", "g").agg(F.min(F.struct("id", "v")).alias("m")).select("h", "g", "m.v", "m.id")
     shapes = curves(dim, orderings, seed=seed)
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +236,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
         h, g, m = np.empty(0, np.int64), np.empty(0, np.int64), None
 
         def found(first: int, last: int) -> pa.RecordBatch:
-            i, j = _pairs(m, first, last, min_cosine - SKETCH_SLACK, 2 * k)
+            i, j, crowded = _pairs(m, first, last, min_cosine - SKETCH_SLACK, max(CROWD, 2 * k))
             differ = (h[i] != h[j]) | (g[i] != g[j])
-            i, j = i[differ], j[differ]
+            i, j = np.concatenate((i[differ], crowded)), np.concatenate((j[differ], crowded))  # a pair with itself marks a crowded row
             swap = (h[i] > h[j]) | (h[i] == h[j]) & (g[i] > g[j])
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], g[i], h[j], g[j])], names=["ha", "ga", "hb", "gb"])
@@ -178,7 +257,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
 
     keyed = unique.mapInArrow(orders, "key long, h long, g long, s binary")
     ranged = keyed.repartitionByRange("key").sortWithinPartitions("key")
-    candidates = ranged.mapInArrow(windows, "ha long, ga long, hb long, gb long").distinct()
+    met = ranged.mapInArrow(windows, "ha long, ga long, hb long, gb long").distinct()
+    marked = (F.col("ha") == F.col("hb")) & (F.col("ga") == F.col("gb"))
+    candidates, crowded = met.where(~marked), met.where(marked).select(F.col("ha").alias("h"), F.col("ga").alias("g"))
 
     # of equal vectors the k + 1 smallest ids; the rank is cut before the shuffle, so a hot vector sends few rows
     copies = Window.partitionBy("h", "g").orderBy("id")
@@ -186,11 +267,14 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
     lists = members.groupBy("h", "g").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
     side = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
-    a_side = candidates.join(side(unique, "a"), ["ha", "ga"]).join(side(lists, "a"), ["ha", "ga"])
-    full = a_side.join(side(unique, "b"), ["hb", "gb"]).join(side(lists, "b"), ["hb", "gb"])
+    vectors = unique.drop("id")
+    a_side = candidates.join(side(vectors, "a"), ["ha", "ga"]).join(side(lists, "a"), ["ha", "ga"])
+    full = a_side.join(side(vectors, "b"), ["hb", "gb"]).join(side(lists, "b"), ["hb", "gb"])
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    exact = full.withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine)
+    sure = _crowded_lists(unique, crowded, k, min_cosine, dim)
+    sure = sure.join(side(lists, "a"), ["ha", "ga"]).join(side(lists, "b"), ["hb", "gb"])
+    exact = full.withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine).select("idsa", "idsb", "cosine").unionByName(sure.select("idsa", "idsb", "cosine"))
 
     one_way = exact.select("idsa", "idsb", "cosine")
     twins = lists.where(F.size("ids") > 1).select(F.col("ids").alias("idsa"), F.col("ids").alias("idsb"), F.lit(1.0).alias("cosine"))

@@ -45,6 +45,26 @@ def test_mutual_pairs_recall(spark):
     assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
 
 
+def found(spark, ids, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "chunk_id string, embedding array<float>")
+    return {(r[0], r[1]) for r in N.mutual_pairs(df, "chunk_id", "embedding").collect()}
+
+
+@pytest.mark.parametrize("spread", [0.004, 0.02])
+def test_large_group_of_near_copies(spark, spread):
+    rng = np.random.default_rng(7)
+    x = np.concatenate((clustered(rng, 1, 400, spread=spread), clustered(rng, 200, 3)))
+    ids = [f"c{i:05d}" for i in rng.permutation(len(x))]
+    got, want = found(spark, ids, x), brute(ids, x, 10, 0.9)
+    assert len(want) > 1000 and got == want
+
+
+def test_exact_comparison_breaks_ties_by_id():
+    x = np.repeat(np.eye(1, 64, dtype=np.float32), 30, axis=0) * 2.0 ** np.arange(30, dtype=np.float32)[:, None]
+    i, j, c = N._exact(x[:5], x, np.arange(5), np.arange(30)[::-1], 3, 0.9)
+    assert list(zip(i, j)) == [(a, b) for a in range(5) for b in (29, 28, 27)] and (c == 1).all()
+
+
 def test_copies_and_odd_vectors(spark):
     one, other = [1.0] + [0.0] * 63, [1.0, 0.2] + [0.0] * 62
     rows = [(f"a{i:02d}", one) for i in range(30)] + [("b", other), ("a00", one), (None, one), ("n", None), ("s", [1.0]), ("e", []), ("z", [0.0] * 64), ("nan", [float("nan")] * 64), ("inf", [float("inf")] + [0.0] * 63), ("null", [None] + [1.0] * 63)]
