@@ -6,8 +6,8 @@ shifts the cube and gives each vector its Hilbert key. All orderings are range-p
 ``(ordering, key)`` and sorted in one shuffle; within a partition each vector is compared with the rows
 of its key window by one matrix product per block. What travels is a sketch of four bits a dimension.
 The windows' candidates are merged over the orderings and reranked with the full vectors. A row with more
-than ``CROWD`` candidates in a window lies in a dense group, where windows and sketches cannot tell the
-nearest: it and those candidates are compared with all rows in double precision instead, tile by tile.
+than ``CROWD`` candidates, in a window or in all orderings, lies in a dense group, where windows and sketches
+cannot tell the nearest: it, and with a crowded window those candidates, are compared with all rows in double precision instead, tile by tile.
 
 Copies of one vector are folded before (a third of all rows may be copies of one vector) and expanded
 after: of equal vectors only the ``k + 1`` smallest ids can be in any list of k, so the expansion is
@@ -42,7 +42,7 @@ WINDOW = 256
 BLOCK = 256
 #: Allowance for the error of the four-bit sketches when candidates are cut by similarity.
 SKETCH_SLACK = 0.08
-#: A row with more candidates than this in one window is compared with all rows.
+#: A row with more candidates than this, in one window or altogether, is compared with all rows.
 CROWD = 64
 #: Crowded rows of one tile of the exact comparison.
 TILE = 32_768
@@ -259,7 +259,10 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
     ranged = keyed.repartitionByRange("key").sortWithinPartitions("key")
     met = ranged.mapInArrow(windows, "ha long, ga long, hb long, gb long").distinct()
     marked = (F.col("ha") == F.col("hb")) & (F.col("ga") == F.col("gb"))
-    candidates, crowded = met.where(~marked), met.where(marked).select(F.col("ha").alias("h"), F.col("ga").alias("g"))
+    candidates = met.where(~marked)
+    # groups that are spread thinner fill no single window, but the candidates of all orderings together
+    ends = met.select(F.explode(F.array(F.struct(F.col("ha").alias("h"), F.col("ga").alias("g"), marked.alias("m")), F.struct(F.col("hb").alias("h"), F.col("gb").alias("g"), marked.alias("m")))).alias("e")).select("e.*")
+    crowded = ends.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("m").alias("m")).where(F.col("m") | (F.col("n") > max(CROWD, 2 * k))).select("h", "g")
 
     # of equal vectors the k + 1 smallest ids; the rank is cut before the shuffle, so a hot vector sends few rows
     copies = Window.partitionBy("h", "g").orderBy("id")

@@ -59,6 +59,20 @@ def test_large_group_of_near_copies(spark, spread):
     assert len(want) > 1000 and got == want
 
 
+def test_dense_group_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate((clustered(rng, 1, 1200, spread=0.05), clustered(rng, 2400, 1)))
+    ids = [f"c{i:05d}" for i in rng.permutation(len(x))]
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, :10]
+    lists = {(i, j) for i in range(len(x)) for j in near[i] if s[i, j] >= 0.9}
+    want = {tuple(sorted((ids[i], ids[j]))) for i, j in lists if (j, i) in lists}
+    got = found(spark, ids, x)
+    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_exact_comparison_breaks_ties_by_id():
     x = np.repeat(np.eye(1, 64, dtype=np.float32), 30, axis=0) * 2.0 ** np.arange(30, dtype=np.float32)[:, None]
     i, j, c = N._exact(x[:5], x, np.arange(5), np.arange(30)[::-1], 3, 0.9)
