@@ -11,7 +11,7 @@ cannot tell the nearest: it, and with a crowded window those candidates, are com
 
 Copies of one vector are folded before (a third of all rows may be copies of one vector) and expanded
 after: of equal vectors only the ``k + 1`` smallest ids can be in any list of k, so the expansion is
-bounded and still exact. Cost: rows * orderings * (block + window) multiply-adds a dimension; shuffled
+bounded and still exact; all later ids have the list of the last of these. Cost: rows * orderings * (block + window) multiply-adds a dimension; shuffled
 are one copy of the vectors and ``orderings`` sketches a row. No pair of windows is ever broadcast. Crowded
 rows cost crowded rows * rows multiply-adds a dimension on top, and a copy of their vectors a slice.
 
@@ -207,8 +207,8 @@ def _crowded_lists(unique: DataFrame, crowded: DataFrame, k: int, least: float,
     return met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "idb")
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, dim: int = 64, orderings: int = ORDERINGS, seed: int = 20) -> DataFrame:
-    """``(id, neighbour, cosine, rank)``: for every id its at most ``k`` most similar others with a cosine of at least ``min_cosine``."""
+def _lists(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, dim: int = 64, orderings: int = ORDERINGS, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The sound rows, and the lists of the ``k + 1`` smallest ids of every vector."""
     vector = F.col(vector_col).cast("array<float>")
     top, low = F.array_max("v"), F.array_min("v")
     sound = ~F.isnan(top) & (top < float("inf")) & (low > float("-inf")) & ((top > 0) | (low < 0)) & ~F.exists("v", lambda x: x.isNull())
@@ -285,11 +285,24 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine
     edges = both.select(F.explode("idsa").alias("id"), "idsb", "cosine").select("id", F.explode("idsb").alias("neighbour"), "cosine").where("id <> neighbour")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     grouped = edges.repartition("id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    return grouped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rows, grouped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, dim: int = 64, orderings: int = ORDERINGS, seed: int = 20) -> DataFrame:
+    """``(id, neighbour, cosine, rank)``: for every id its at most ``k`` most similar others with a cosine of at least ``min_cosine``."""
+    rows, lists = _lists(df, id_col, vector_col, k, min_cosine, dim, orderings, seed)
+    # k equal ids come before the (k + 1)-th of a vector, so it is in no list of its own, and all later ids have its list
+    ids = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
+    copies = Window.partitionBy("h", "g").orderBy("id")
+    few = rows.select("h", "g", "id").withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1)
+    owners = few.groupBy("h", "g").agg(ids.alias("ids")).where(F.size("ids") == k + 1).select("h", "g", F.element_at("ids", -1).alias("owner"))
+    later = rows.join(owners, ["h", "g"]).where(F.col("id") > F.col("owner")).select(F.col("id").alias("later"), "owner").distinct()
+    rest = later.join(lists, F.col("owner") == F.col("id")).select(F.col("later").alias("id"), "neighbour", "cosine", "rank")
+    return lists.unionByName(rest)
 
 
 def mutual_pairs(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine: float = 0.9, **options) -> DataFrame:
     """``(id_a, id_b)``, smaller id first: each among the other's ``k`` most similar, with a cosine of at least ``min_cosine``."""
-    near = nearest(df, id_col, vector_col, k, min_cosine, **options)
+    near = _lists(df, id_col, vector_col, k, min_cosine, **options)[1]  # later copies are in nobody's list
     pair = near.select(F.least("id", "neighbour").alias(f"{id_col}_a"), F.greatest("id", "neighbour").alias(f"{id_col}_b"))
     return pair.groupBy(f"{id_col}_a", f"{id_col}_b").count().where("count = 2").drop("count")

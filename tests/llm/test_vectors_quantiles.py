@@ -88,6 +88,13 @@ def test_copies_and_odd_vectors(spark):
     assert N.mutual_pairs(df.limit(0), "chunk_id", "embedding").count() == 0
 
 
+def test_every_copy_has_neighbours(spark):
+    rows = [(f"a{i:02d}", [1.0] + [0.0] * 63) for i in range(30)] + [("b", [1.0, 0.2] + [0.0] * 62)]
+    got = N.nearest(spark.createDataFrame(rows, "chunk_id string, embedding array<float>"), "chunk_id", "embedding", k=3).collect()
+    lists = {i: [r.neighbour for r in sorted(got, key=lambda r: r["rank"]) if r.id == i] for i, _ in rows}
+    assert lists == {i: [f"a{j:02d}" for j in range(5) if f"a{j:02d}" != i][:3] for i, _ in rows} and len(got) == 3 * len(rows)
+
+
 def rank_of(values, v):
     s = np.sort(values)
     return np.searchsorted(s, v, "left") + 1, np.searchsorted(s, v, "right")
