@@ -115,6 +115,12 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*got))
 
 
+def _enough(known: np.ndarray) -> bool:
+    """Could words of which these stand in the document hold a long passage: some run of ``n >= LONG_RUN`` words with ``n // ONE_IN`` unknown at most?"""
+    at = np.concatenate(([0], np.cumsum(known)))
+    return any((at[n:] - at[:-n]).max() >= n - n // ONE_IN for n in range(LONG_RUN, len(known) + 1))
+
+
 def holds(item: np.ndarray, doc: np.ndarray) -> bool:
     """Exact verification: does the document hold a passage of the item within the limits?"""
     same = item[:, None] == doc[None, :]
@@ -135,8 +141,7 @@ def holds(item: np.ndarray, doc: np.ndarray) -> bool:
     added = np.where(f < m, x + at(e, f + 1), 0)
     if max(v.max(initial=0) for v in (changed, dropped, added)) >= RUN:
         return True
-    known = np.concatenate(([0], np.cumsum(same.any(axis=1))))
-    if n < LONG_RUN or (known[LONG_RUN:] - known[:-LONG_RUN]).max(initial=0) < LONG_RUN - LONG_RUN // ONE_IN:
+    if not _enough(same.any(axis=1)):
         return False
     # longest[e][i, j]: most item words of an alignment that ends before (i, j) with e edits
     columns = np.flatnonzero(same.any(axis=0))
@@ -167,8 +172,7 @@ def _possible(index: Index, doc: np.ndarray, candidates: np.ndarray) -> np.ndarr
     for c in candidates:
         known = np.concatenate(([0], np.cumsum(present[index.items[c]])))
         short = (known[RUN:] - known[:-RUN]).max() >= RUN - 1
-        long = len(known) > LONG_RUN and (known[LONG_RUN:] - known[:-LONG_RUN]).max() >= LONG_RUN - LONG_RUN // ONE_IN
-        if short or long:
+        if short or _enough(present[index.items[c]]):
             out.append(c)
     return np.array(out, dtype=np.int64)
 
@@ -188,8 +192,8 @@ def scan(index: Index, docs: list[tuple[object, str]]) -> Iterator[tuple[object,
         return
     ids = np.fromiter((x for p in parts for x in p), np.int32, n)
     known = np.concatenate(([0], np.cumsum(ids > 0)))
-    # two edits within a window of a passage at most (the better half of 30 words with 4), so WINDOW - 2 known words
-    first = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= WINDOW - 2)
+    # the best window of a passage has three edits at most (6 in 42 words can leave no better one), so WINDOW - 3 known words
+    first = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= WINDOW - 3)
     if not len(first):
         return
     window, item = index.items_of(ids, first)

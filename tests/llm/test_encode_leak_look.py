@@ -69,6 +69,31 @@ def test_verification_equals_brute_force(seed):
     assert K.holds(np.array(item), np.array(doc)) == within(item, doc)
 
 
+def test_edits_spread_over_a_passage_longer_than_the_least():
+    item = np.arange(1, 36)
+    doc = item.copy()
+    doc[[5, 11, 17, 23, 29]] = 0
+    assert within(list(item), list(doc)) and K.holds(item, doc)
+    text = [f"w{i}" for i in range(35)]
+    index = K.Index([(0, " ".join(text))])
+    assert list(K._possible(index, np.where(np.isin(index.items[0], doc), index.items[0], 0), np.array([0]))) == [0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_prefilter_loses_no_long_passage(seed):
+    rng = random.Random(seed)
+    n = rng.randrange(30, 43)
+    item = list(range(1, n + 1))
+    doc = item.copy()
+    step = rng.randrange(5, 9)
+    for p in range(rng.randrange(step), n, step):
+        doc[p] = 0
+    got = K.holds(np.array(item), np.array(doc))
+    assert got == within(item, doc)
+    index = K.Index([(0, " ".join(f"w{i}" for i in item))])
+    assert not got or len(K._possible(index, np.array(doc), np.array([0])))
+
+
 def test_leaks(spark):
     its = items(30, 80)
     word = lambda i, a, b: its[i][1].split()[a:b]
