@@ -129,7 +129,7 @@ def header_line(line: str, forms: list[str], chapters: set[str], own: str | None
         if n.endswith(f) and (n[: -len(f)] in chapters or own is not None and _near(n[: -len(f)], own)):
             return True
         if len(n) > len(f) and (n[:4] == f[:4] or n[-4:] == f[-4:]):
-            for c in heads if len(heads) < 64 else heads[:1]:
+            for c in heads:
                 if _near(n, f + c) or _near(n, c + f):
                     return True
     return False

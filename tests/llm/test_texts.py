@@ -163,3 +163,11 @@ def test_repair(scanned):
         assert got[k] == first + "."
     assert got["ok"] == CLEAN and got["compound"] == "Keep the vacuum-packed ham cold."
     assert "jewellery" in got["soft"]
+
+
+def test_misread_header_among_many_chapters():
+    chapters = {f"storageofgoods{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"} | {"cleaningofmachines"}
+    line = "Handbook of kitchems Cleaning of machines 7"
+    for known in (chapters, {"cleaningofmachines"}):
+        assert O.header_line(line, ["handbookofkitchens"], known, None)
+        assert O.header_line(line, ["handbookofkitchens"], known, "drainageofrooms")
