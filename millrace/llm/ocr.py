@@ -1,28 +1,33 @@
 """Noise of scanned pages: finding it and repairing the text (problem 5).
 
-Method. The lines of a text are stripped of running headers (the row's own title and chapters, in any
-case or letter spacing, with misread letters allowed) and page numbers, and the rest becomes one stream
-of tokens and line ends. The stream is decoded as a joint segmentation: at each place the decoder may
-read a token as it stands, read it with letters confused, join it with the next one over a line end
-(hyphen, soft hyphen or none), merge two tokens or split one; the least cost path wins. Costs are those
-of a noisy channel: words cost by their frequency in all texts (unknown words by a four-letter model of
-all words), each confusion, merge, split and hyphen a constant. Words that are frequent and have no far
-more frequent reading are read as they stand, which settles nearly all tokens by one look-up.
-Paragraph boundaries are chosen by dynamic programming over the lines.
-
-The lexicon is counted over all rows. Words and letter groups with less than ``RARE`` of all occurrences
-are left out, so what is broadcast is bounded by ``1 / RARE`` entries; the tables are checkpointed first.
+Method. The lines of a text are stripped of running headers (the row's own title and chapters, in any case or letter
+spacing, with misread letters allowed) and page numbers; the rest is one stream of characters without line ends.
+The stream is decoded as a joint segmentation into words by a least-cost search: a word may stand as it is, be
+read with letters confused, run over a space (a cut word) or over a line end (with a hyphen, a soft hyphen or no
+mark), and end within a token (words run together); a compound may keep its own hyphen. Costs are those of a noisy
+channel: words cost by their share of all words, unknown words more by a four-letter model, and each confusion, merge,
+split and division its constant (``Lexicon``). Tokens that no other reading can beat end the stretches that are
+searched, which leaves one look-up for nearly all tokens; the result is that of the search over the whole
+stream, but for known words of which two with confused letters make one, and words in three pieces of which no two
+neighbours make one. Paragraph boundaries are chosen by dynamic
+programming over the lines.
+
+The lexicon has every word that stands ``LEAST`` times in all texts, the chapters are those of all rows. The commonest
+``MAX_WORDS`` and ``MAX_CHAPTERS`` are broadcast; where there are more, each page asks for the others by an
+equi-join (``_with_rest``), with the same result. Letter groups with less than ``RARE_GROUP`` of all are left out of
+the model, a share that means the same at every size and bounds it by ``1 / RARE_GROUP`` entries.
 
 Defined cases: null and blank texts have no noise and stay as they are; rows repeated under one id give
-one row a kind; null ids are left out; a null title, chapter or page only means that this sign is
-missing; ``ocr_used`` is not relied on, as it may be untrue.
+one row a kind; null ids are left out; a null chapter or page only means that this sign is
+missing, and without a title headers are told by their look (``title_like``); ``ocr_used`` is not relied on, as it may be untrue.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import re
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,9 +37,13 @@ from pyspark.sql import types as T
 
 from millrace.plans.runtime import checkpoint, spread
 
-#: Share of all occurrences below which a word, a letter group or a chapter is not kept.
-RARE = 3e-6
-RARE_CHAPTER = 1e-4
+#: Occurrences from which a word is known.
+LEAST = 4
+#: Words and chapters that are broadcast at most.
+MAX_WORDS = 300_000
+MAX_CHAPTERS = 100_000
+#: Share of all letter groups below which a group is left out of the model.
+RARE_GROUP = 3e-6
 
 # What was read, and what stood there.
 CONFUSIONS = [("c", "e"), ("@", "a"), ("ri", "n"), ("f", "t"), ("|", "i"), ("0", "o"), ("5", "s"), ("ii", "u"), ("1", "l"), ("(", "c"), ("cl", "d"), ("rn", "m"), ("b", "h"), ("9", "g"), ("6", "é"), ("6", "b"), ("I", "l"), ("a:", "ä"), ("o:", "ö"), ("u:", "ü"), ("h", "li"), ("vv", "w"), ("m", "rn"), ("8", "B"), ("¦", "i"), ("!", "l"), ("!", "i"), ("$", "s"), ("€", "e"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("1", "i"), ("ß", "B"), ("0", "O"), ("5", "S"), ("1", "I"), ("|", "l"), ("|", "I")]
@@ -46,6 +55,8 @@ _SIGNS = set("@|(¦!$€0123456789:")
 _LETTER = re.compile(r"[^\W\d_]")
 _PAGE = re.compile(r"[\W_]*(?:(?:page|pages|pg|p|seite|s|página|pagina|pág|pag|صفحة|ص)\b[\W_]*)?(?:\d{1,4}|[ivxlc]{1,7}|[IVXLC]{1,7})(?:\s*(?:/|of|de|von|sur|من)\s*\d{1,4})?[\W_]*\Z", re.I)
 _ADORNED = re.compile(r"[\W_]*(?:page|pages|pg|p|seite|s|página|pagina|pág|pag|صفحة|ص)\b|\s*[\[(~–—|<=·•-]+\s*\w+\s*[\])~–—|>=·•-]+\s*\Z", re.I)
+_RULED = re.compile(r"\A\d{1,4}\s*[|·]\s*|\s*[|·]\s*\d{1,4}\Z|\s{3,}\d{1,4}\Z|\A\d{1,4}\s{3,}")
+_DIVIDED = re.compile(rf"\S+[{HYPHENS}][ \t\r]*\n\s*\S+")
 _ITEM = re.compile(r"\s*(?:[-*•–·]|\(?\d{1,3}[.)])\s")
 _HEADED = re.compile(r"\s*\d{1,3}(?:\.\d{1,3})+\.?\s")
 
@@ -108,8 +119,12 @@ def titles(name: str | None) -> list[str]:
     return [x for x in dict.fromkeys(out) if len(x) > 4]
 
 
-def header_line(line: str, forms: list[str], chapters: set[str], own: str | None) -> bool:
-    """Is the line a title, a chapter, or both, with or without a page number?"""
+def header_line(line: str, forms: list[str], chapters: Names, own: str | None) -> bool:
+    """Is the line a title, a chapter, or both, with or without a page number?
+
+    A title, the row's own chapter, and each of them within a line of both, may be misread in one letter of seven;
+    any other chapter counts as it is spelt.
+    """
     if _HEADED.match(line) or line.rstrip()[-1:] in ".!?؟,;:" or len(line) > 160:
         return False
     n = squeezed(line)
@@ -118,56 +133,139 @@ def header_line(line: str, forms: list[str], chapters: set[str], own: str | None
     for word in ("page", "seite", "página", "صفحة"):
         if n.endswith(word) or n.startswith(word):
             n = n.removeprefix(word).removesuffix(word)
-    heads = list(chapters) if own is None else [own, *chapters]
     if own is not None and _near(n, own) or n in chapters:
         return True
     for f in forms:
         if _near(n, f):
             return True
-        if n.startswith(f) and (n[len(f) :] in chapters or own is not None and _near(n[len(f) :], own)):
-            return True
-        if n.endswith(f) and (n[: -len(f)] in chapters or own is not None and _near(n[: -len(f)], own)):
+        if own is not None and (n[:3] == f[:3] or n[-3:] == f[-3:] or n[:3] == own[:3] or n[-3:] == own[-3:]) and (_near(n, f + own) or _near(n, own + f)):
             return True
-        if len(n) > len(f) and (n[:4] == f[:4] or n[-4:] == f[-4:]):
-            for c in heads:
-                if _near(n, f + c) or _near(n, c + f):
-                    return True
+        k = len(f) // 7
+        if len(n) < len(f) - k + 5:
+            continue
+        for at in range(len(f) - k, min(len(f) + k, len(n) - 5) + 1):
+            if n[:3] == f[:3] and n[at:] in chapters and _near(n[:at], f) or n[-3:] == f[-3:] and n[:-at] in chapters and _near(n[-at:], f):
+                return True
     return False
 
 
+def title_like(line: str, before: str | None, after: str | None) -> bool:
+    """Does a line look like a header where no title is known?
+
+    Written as a title (capitals, or capital initials of all longer words; scripts without case: five words at most),
+    without a closing mark, and at the page's edge with a mark of headers (a rule before its page number, a dash
+    between title and chapter, capitals), or cutting a sentence, or with such a mark between paragraphs.
+    """
+    if _HEADED.match(line) or _ITEM.match(line) or line.rstrip()[-1:] in ".!?؟,;:" or len(line) > 80:
+        return False
+    plain = _RULED.sub("", line.strip())
+    words = [w for w in re.split(r"[\s-]+", plain) if w and w[0].isalpha()]
+    long = [w for w in words if len(w) > 3] or words
+    if len(words) < 2 or any(c.isdigit() for c in plain):
+        return False
+    cased = any(c.lower() != c.upper() for c in plain)
+    if cased and not all(w[0].isupper() for w in [words[0], *long]) or not cased and len(words) > 8:
+        return False
+    marked = plain != line.strip() or " - " in plain or cased and plain.isupper()
+    cuts = before is not None and after is not None and before[-1] not in ".!?؟:" and not after[:1].isupper()
+    return marked or cuts and (cased or len(words) < 6) or after is None and before is not None and before[-1] in ".!?؟" and len(words) < 6
+
+
+class Names:
+    """Squeezed chapter names; those not held can be noted for a look-up in the whole table."""
+
+    def __init__(self, held: set[str], asked: set[str] | None = None, more: frozenset[str] = frozenset()):
+        self.held, self.asked, self.more = held, asked, more
+
+    def __contains__(self, name: str) -> bool:
+        if name in self.held or name in self.more:
+            return True
+        if self.asked is not None:
+            self.asked.add(name)
+        return False
+
+
 class Lexicon:
-    """Word frequencies, a four-letter model of words, and the noisy channel over them."""
+    """Word frequencies, a four-letter model of words, and the noisy channel over them.
+
+    The channel reads a stretch of the character stream as one word at the cost ``word`` gives, and a stream of
+    several tokens at the least cost of all its segmentations (``least``).
+    """
 
-    CONFUSED, JOINED, HYPHENED, SPLIT = 5.0, 6.0, 1.0, 7.0
     #: How many times as frequent a reading must be for a known word to count as misread.
     FAR = 60
+    #: A letter read for other letters, a sign read for a letter, and the same where neither reading is a known word.
+    CONFUSED, SIGN, NAMED, SIGNED = math.log(FAR), 2.0, 8.0, 0.5
+    #: A word cut by a space or a bare line end; two words run together; a hyphen taken for a division mark, or for a compound's own.
+    MERGED, SPLIT, HYPHENED, COMPOUND = 8.0, 14.0, 1.0, 6.0
+    #: A division before a capital letter; any other mark of division taken for a compound's hyphen.
+    CAPITAL, NEVER = 20.0, 1000.0
+    #: An unknown word beside a word seen once, before the letter model.
+    UNKNOWN = 3.5
+    #: A number, a code or a mark as it stands.
+    FIXED = 8.0
     #: Cost of a letter from which an unknown word may be misread.
     ODD = 5.0
-    #: Further gain that a confusion of letters with letters must bring in such a word.
-    LETTER = 3.0
+    #: Longest word that is sought over token boundaries.
+    LONGEST = 40
 
-    def __init__(self, words: dict[str, int], groups: dict[str, int]):
-        self.words, self.total = words, max(1, sum(words.values()))
+    def __init__(self, words: dict[str, int], groups: dict[str, int], total: int | None = None, held_share: float = 0.0):
+        self.words, self.total = words, max(2, total or sum(words.values()))
         low: dict[str, int] = defaultdict(int)
         for w, n in words.items():
             low[w.lower()] += n
-            tail = w.replace("’", "'").split("'", 1)
-            if len(tail) == 2 and len(tail[0]) <= 2 and len(tail[1]) > 2:
-                low[tail[1].lower()] += n  # the word after an elided article
         self.low = dict(low)
+        self.get = self.low.get
         self.groups = groups
         heads: dict[str, int] = defaultdict(int)
         for g, n in groups.items():
             heads[g[:-1]] += n
         self.heads = dict(heads)
         self.costs: dict[str, float] = {}
-        self.verdicts: dict[str, str | None] = {}
         self.rules: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for seen, true in CONFUSIONS:
             self.rules[seen[0]].append((seen, true))
+        self.log_total = math.log(self.total)
+        #: Least cost of any word, and of a word outside the held part.
+        self.cheapest = self.log_total - math.log(max(low.values(), default=1))
+        self.rare = -math.log(held_share) if held_share else math.inf
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tokens: dict[str, tuple[bool, float, str, str]] = {}
+        self.read: dict[str, tuple[float, str]] = {}
+        self.islands: dict[str, tuple[str, frozenset[str]]] = {}
+
+    def noting(self, asked: set[str]) -> Lexicon:
+        """The same lexicon that notes every word it does not hold."""
+        other = copy.copy(self)
+
+        def get(w: str, default: int = 0) -> int:
+            n = self.low.get(w)
+            if n is None:
+                asked.add(w)
+                return default
+            return n
+
+        other.get = get
+        other._forget()
+        return other
+
+    def with_words(self, more: list[tuple[str, int]]) -> Lexicon:
+        """The same lexicon with further words."""
+        other = copy.copy(self)
+        low: dict[str, int] = defaultdict(int)
+        for w, n in more:
+            low[w.lower()] += n
+        other.words = ChainMap(dict(more), self.words)
+        other.low = ChainMap(dict(low), self.low)
+        other.get = other.low.get
+        other.rare = math.inf
+        other._forget()
+        return other
 
     def count(self, w: str) -> int:
-        return self.low.get(w.lower(), 0)
+        return self.get(w.lower(), 0)
 
     def group_costs(self, w: str) -> list[float]:
         """Negative log probability of each letter of a word, and of its end, under the four-letter model."""
@@ -177,18 +275,20 @@ class Lexicon:
             g = s[i : i + 4]
             c = self.costs.get(g)
             if c is None:
-                c = self.costs[g] = -math.log((self.groups.get(g, 0) + 0.02) / (self.heads.get(g[:3], 0) + 0.02 * 60))
                 if len(self.costs) > 1_000_000:
                     self.costs.clear()
+                c = self.costs[g] = -math.log((self.groups.get(g, 0) + 0.02) / (self.heads.get(g[:3], 0) + 0.02 * 60))
             out.append(c)
         return out
 
     def letters(self, w: str) -> float:
         return sum(self.group_costs(w))
 
-    def cost(self, w: str) -> float:
-        n = self.count(w)
-        return -math.log(n / self.total) if n else 3.0 + self.letters(w)
+    def known(self, n: int) -> float:
+        return self.log_total - math.log(n)
+
+    def unknown(self, w: str) -> float:
+        return self.log_total + self.UNKNOWN + self.letters(w)
 
     def undone(self, w: str) -> list[str]:
         """Words of which one confusion makes ``w``."""
@@ -208,103 +308,208 @@ class Lexicon:
             for v in layer:
                 yield v, used
 
-    def misread(self, token: str) -> str | None:
-        """The word that was misread as this token, or None."""
-        if token in self.verdicts:
-            return self.verdicts[token]
-        if len(self.verdicts) > 400_000:
-            self.verdicts.clear()
-        v = self.verdicts[token] = self._misread(token)
-        return v
+    def word(self, token: str) -> tuple[float, str]:
+        """Least cost of reading a stretch as one word, and the word."""
+        got = self.read.get(token)
+        if got is None:
+            if len(self.read) > 400_000:
+                self.read.clear()
+            got = self.read[token] = self._token(token)
+        return got
 
-    def _misread(self, token: str) -> str | None:
+    def _token(self, token: str) -> tuple[float, str]:
         w = token.strip(_EDGE)
-        if token.lstrip("\"'«»„“[{").startswith("(") and w and not token.rstrip(".,;:").endswith(")") and not self.count(w) and self.count("c" + w) > 1:
-            return "c" + w  # an opening bracket for the first letter
-        if len(w) < 2 or not _LETTER.search(w):
-            return None
+        if not w or len(w) < 2 or not _LETTER.search(w):
+            n = self.count(w) if w else 0
+            return (self.known(n) if n else self.FIXED), token
+        cost, v = self._parts(w)
+        best = cost, token if v == w else token.replace(w, v, 1)
+        if token.lstrip("\"'«»„“[{").startswith("(") and not token.rstrip(".,;:").endswith(")") and not self.count(w) and (n := self.count("c" + w)):
+            best = min(best, (self.known(n), token.replace("(" + w, "c" + w, 1)))  # an opening bracket for the first letter
+        return best
+
+    def _parts(self, w: str) -> tuple[float, str]:
+        """A word, or the word after an elided article, or a compound of words."""
         for p in ("'", "’"):
-            if p in w[:-1] and len(w.split(p)[0]) <= 2:  # an elided article stands before the word
+            if p in w[:-1] and len(w.split(p)[0]) <= 2:
                 head, tail = w.split(p, 1)
-                got = self._word(tail)
-                return f"{head}{p}{got}" if got else None
+                cost, v = self._one(tail)
+                return cost + 2.0, f"{head}{p}{v}"
         if "-" in w.strip("-"):
-            parts = w.split("-")
-            got = [self._word(x) if len(x) > 1 else None for x in parts]
-            return "-".join(g or x for g, x in zip(got, parts)) if any(got) and not self.count(w) else None
-        return self._word(w)
+            if n := self.count(w):
+                return self.known(n), w
+            got = [self._one(x) if len(x) > 1 else (self.FIXED, x) for x in w.split("-")]
+            return sum(c for c, _ in got) + self.COMPOUND * (len(got) - 1), "-".join(v for _, v in got)
+        return self._one(w)
 
-    def _word(self, w: str) -> str | None:
-        if len(w) < 2 or _CODE.match(w) or not _LETTER.search(w):
-            return None
+    def _one(self, w: str) -> tuple[float, str]:
         n = self.count(w)
+        own = self.known(n) if n else self.unknown(w)
+        if len(w) < 2 or _CODE.match(w) or not _LETTER.search(w):
+            return min(own, self.FIXED), w
         if n * 20 * self.FAR > self.total:
-            return None  # nothing can be so much more frequent
-        signs = sum(c in _SIGNS for c in w)
-        capital = any(c.isupper() for c in w[1:]) and not w.isupper()
-        if w.isupper() and not signs:
-            return None
+            return own, w  # nothing can be so much more frequent
+        inner = 0 if w.isupper() else 1
+        strange = lambda x: sum(c in _SIGNS for c in x) + inner * sum(c.isupper() for c in x[1:])
+        signs, odds = sum(c in _SIGNS for c in w), strange(w)
+        if not inner and not signs:
+            return own, w
         digits = sum(c.isdigit() for c in w)
         if digits * 2 > len(w) or w[0].isupper() and w[1:].isdigit():
-            return None
+            return min(own, self.FIXED), w
         if digits and len(rest := w.lstrip("0123456789.,")) <= 2 and rest.isalpha():
-            return None  # a number with its unit
+            return min(own, self.FIXED), w  # a number with its unit
         fits = lambda v: not any(c.isdigit() for c in v) and (v[1:] == v[1:].lower() or v.isupper())
-        costs = None if n else self.group_costs(w)
-        odd = signs > 0 or capital or costs is not None and max(costs) >= self.ODD
-        # a word of the lexicon that is far more frequent, with as few confusions as possible
-        best, most, depth = None, 0, 0
-        for v, used in self.readings(w, 3 if signs else 2 if odd else 1):
-            if best is not None and used > depth:
-                break
-            m = self.count(v)
-            if m > 2 and m > n * self.FAR and m > most and fits(v):
-                best, most, depth = v, m, used
-        if best is not None or n or not odd or len(w) < 4 and not signs:
+        odd = odds > 0 or not n and max(self.group_costs(w)) >= self.ODD
+        best = own, w
+        for v, used in self.readings(w, 3 if odds else 2 if odd else 1):
+            if (m := self.count(v)) and fits(v):
+                marks = min(used, odds - strange(v))
+                best = min(best, (self.known(m) + self.SIGN * marks + self.CONFUSED * (used - marks), v))
+        if best[1] != w or n or not odd or len(w) < 4 and not signs:
             return best
         # names and other words outside the lexicon: the letter model decides
-        gain = 0.0
         for v, used in self.readings(w, 2):
             if fits(v) and not any(c in _SIGNS for c in v):
-                g = sum(costs) - self.letters(v) - (0.5 if signs or capital else self.CONFUSED + self.LETTER) * used
-                if g > gain:
-                    best, gain = v, g
+                best = min(best, (self.unknown(v) + (self.SIGNED if odds else self.NAMED) * used, v))
         return best
 
-    def joined(self, a: str, b: str, mark: str) -> bool:
-        """Does the word ``ab`` divided by ``mark`` over a line end stand here (and not a compound, or two words)?"""
-        a, b = a.lstrip(_EDGE), b.rstrip(_EDGE)
-        a = a.split("'")[-1].split("’")[-1]
-        tail = re.split(r"[-'’]", b)[0] or b
-        if not a or not b or not a[-1].isalpha() or not b[0].isalpha():
-            return False
-        if mark != "-":
-            return True
-        if b[0].isupper() and not a.isupper():
-            return False
-        whole, compound = self.count(a + b), self.count(f"{a}-{b}")
-        if "-" in b:
-            whole = max(whole, self.count(a + tail))
-        if compound > whole:
+    def token(self, t: str) -> tuple[bool, float, str, str]:
+        """Whether a token needs the search, its own cost, and its letters if they may run on to the right, or to the left."""
+        got = self.tokens.get(t)
+        if got is None:
+            if len(self.tokens) > 400_000:
+                self.tokens.clear()
+            w = t.strip(_EDGE)
+            cost, v = self.word(t)
+            plain = w.isalpha()
+            # a split costs SPLIT and two words at least
+            search = v != t or plain and (len(w) > 1 and cost > self.SPLIT + 2 * self.cheapest or not self.count(w))
+            joins = plain or search and all(c.isalpha() or c in _SIGNS for c in w)
+            opens, closes = (w.lower() if joins and t.endswith(w) else ""), (w.lower() if joins and t.startswith(w) else "")
+            got = self.tokens[t] = search, cost, opens, closes
+        return got
+
+    def linked(self, a: tuple, b: tuple) -> bool:
+        """Could two neighbouring tokens be one word that was cut?"""
+        if not a[2] or not b[3]:
             return False
-        if whole:
+        both = a[1] + b[1] - self.MERGED
+        if both <= self.cheapest:
+            return False  # no word is frequent enough to cost less
+        if a[0] and b[0]:
             return True
-        # neither is known: with misread letters a known word, or two halves that are no words
-        if compound == 0 and self._word(a + b):
-            return True
-        return not (self.count(a) and self.count(b))
+        return bool(self.low.get(a[2] + b[3])) if both <= self.rare else bool(self.get(a[2] + b[3], 0))
+
+    def least(self, island: str) -> tuple[str, frozenset[str]]:
+        """The least-cost reading of a stretch of the stream and the noise on its path.
+
+        The stretch is taken as letters without spaces and line ends; a word may run over the places where they
+        stood (cut words), end at them, or end within a token (words run together). A word that ran over a line
+        end stands after it.
+        """
+        got = self.islands.get(island)
+        if got is None:
+            if len(self.islands) > 200_000:
+                self.islands.clear()
+            got = self.islands[island] = self._least(island)
+        return got
+
+    def _least(self, island: str) -> tuple[str, frozenset[str]]:
+        chars, mark, places = "", {}, [0]  # mark: what stood at a boundary; places: where words may end
+        tokens = re.split("([ \n])", island)
+        for i in range(0, len(tokens), 2):
+            t, start = tokens[i], len(chars)
+            sep = tokens[i + 1] if i + 1 < len(tokens) else ""
+            divided = sep == "\n" and len(t) > 1 and t[-1] in HYPHENS and t[-2].isalpha() and tokens[i + 2][:1].isalnum()
+            body = t[:-1] if divided else t
+            chars += body
+            w = body.strip(_EDGE)
+            if len(w) > 3 and w.isalpha() and self.word(body)[0] > self.SPLIT + 2 * self.cheapest:
+                first = start + body.index(w)
+                places += range(first + 2, first + len(w) - 1)
+            mark[len(chars)] = t[-1] if divided else sep
+            places.append(len(chars))
+        bounds = sorted(mark)
+        mark[0] = ""
+        best: dict[int, tuple[float, int, str, frozenset[str]]] = {0: (0.0, 0, "", frozenset())}
+        for j in places[1:]:
+            for i in places:
+                if i >= j:
+                    break
+                if i not in best:
+                    continue
+                inner = [b for b in bounds if i < b < j]
+                if j - i > self.LONGEST and (inner or i not in mark or j not in mark):
+                    continue
+                for cost, text, noise in self._edge(chars, i, j, inner, mark):
+                    cost += best[i][0]
+                    if i not in mark:
+                        cost += self.SPLIT
+                    elif mark[i] not in ("", " ", "\n"):  # ends at a division mark: a compound's own hyphen
+                        cost += self.COMPOUND if mark[i] == "-" else self.NEVER
+                    if j not in best or cost < best[j][0]:
+                        best[j] = cost, i, text, noise
+        parts, noise, j = [], set(), len(chars)
+        while j > 0:
+            _, i, text, found = best[j]
+            noise |= found
+            after = mark.get(j, " ")
+            parts.append(text + after if after in ("", " ", "\n") else f"\n{text}-")
+            j = i
+        return "".join(reversed(parts)), frozenset(noise)
+
+    def _edge(self, chars: str, i: int, j: int, inner: list[int], mark: dict[int, str]) -> Iterator[tuple[float, str, frozenset[str]]]:
+        """Readings of one stretch as one word."""
+        s = chars[i:j]
+        if i in mark and j in mark and not inner:
+            cost, text = self.word(s)
+            yield cost, text, frozenset(["misread"] if text != s else [])
+            return
+        w = s.strip(_EDGE)
+        breaks = "\n" * sum(mark[b] != " " for b in inner)
+        divided = [b for b in inner if mark[b] not in " \n"]
+        if i in mark and j in mark:
+            if any(not chars[b].isalpha() or not chars[b - 1].isalpha() for b in inner):
+                return
+            cost, text = self.word(s)
+            known = cost < self.log_total + self.UNKNOWN or self.count(text.strip(_EDGE))
+            if known or len(divided) == len(inner):
+                price = 0.0
+                for b in inner:
+                    price += self.HYPHENED if b in divided else self.MERGED
+                    if mark[b] == "-" and chars[b].isupper() and not chars[i:b].strip(_EDGE).isupper():
+                        price += self.CAPITAL
+                noise = (["misread"] if text != s else []) + (["hyphenation"] if breaks else [])
+                yield cost + price, breaks + text, frozenset(noise)
+            if divided and len(divided) == len(inner) and all(mark[b] == "-" for b in inner):
+                kept = "-".join(chars[a:b] for a, b in zip([i, *inner], [*inner, j]))
+                if n := self.count(kept.strip(_EDGE)):
+                    yield self.known(n), breaks + kept, frozenset()
+        elif not inner and len(w) > 1:
+            # a word that begins or ends within a token stands in the lexicon as it is spelt
+            n = self.count(w) and self.words.get(w, 0) if i not in mark else self.count(w)
+            if n and (i in mark or w == s or s.startswith(w)) and (j in mark or s.endswith(w)):
+                yield self.known(n), s, frozenset()
+
+
+#: State after a token that ends in a division mark at a line end.
+DIVIDED = (True, 0.0, "", "")
 
 
 class Page:
     """One text cut into kept lines, with the noise that was found on the way."""
 
-    def __init__(self, text: str, forms: list[str], own: str | None, chapters: set[str], page: float | None):
+    def __init__(self, text: str, forms: list[str], own: str | None, chapters: Names, page: float | None):
         self.lines: list[str] = []
         self.blank: list[int] = []  # blank lines before each kept line; -1 where noise lines stood between
         self.noise: set[str] = set()
         raw = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         before, gap, cut = 0, False, 0
         many = sum(1 for x in raw if x.strip()) > 1
+        beside = lambda i: (text_lines[i - 1] if i else None, text_lines[i + 1] if i + 1 < len(text_lines) else None)
+        at = -1
+        text_lines = [x.strip() for x in raw if x.strip() and not page_line(x.strip(), page)] if not forms and many else []
         for line in raw:
             s = line.strip()
             if not s:
@@ -315,7 +520,8 @@ class Page:
                 gap, cut = True, before if not gap else cut
                 before = 0
                 continue
-            if many and header_line(s, forms, chapters, own):
+            at += 1
+            if many and (header_line(s, forms, chapters, own) or text_lines and title_like(s, *beside(at))):
                 self.noise.add("running_header")
                 if re.search(r"\d", s) and self._numbered(s, page, forms):
                     self.noise.add("page_number")
@@ -337,40 +543,50 @@ class Page:
 
 
 def decode(page: Page, lexicon: Lexicon, repair: bool) -> str | None:
-    """Joint segmentation of the kept lines; adds the noise found to ``page`` and gives the text if ``repair``."""
-    out: list[list[str]] = []
-    i = 0
-    lines = [x.split() for x in page.lines]
-    carried: str | None = None
-    for i, words in enumerate(lines):
-        row: list[str] = []
-        if carried is not None and words:
-            words = [carried + words[0], *words[1:]]
-            carried = None
-        for j, w in enumerate(words):
-            last = j == len(words) - 1
-            if last and i + 1 < len(lines) and len(w) > 1 and w[-1] in HYPHENS and w[-2].isalpha() and lines[i + 1]:
-                a, mark = w[:-1], w[-1]
-                if lexicon.joined(a, lines[i + 1][0], mark):
-                    page.noise.add("hyphenation")
-                    carried = a
-                    continue
-                if mark == "-" and lines[i + 1][0][:1].isalnum():  # a compound that the line end cut at its own hyphen
-                    carried = w
-                    continue
-            if not w.isascii() and "\xad" in w:
-                w = w.replace("\xad", "")
-            v = lexicon.misread(w)
-            if v is not None:
-                page.noise.add("misread")
-                if repair:
-                    core = w.strip(_EDGE)
-                    w = w.replace(core, v, 1) if core and not v.endswith(core) else w.replace("(" + core, v, 1)
-            row.append(w)
-        out.append(row)
-    if carried is not None:
-        out[-1].append(carried)
-    return paragraphs(out, page) if repair else None
+    """Least-cost segmentation of the kept lines' stream; adds the noise found to ``page`` and gives the text if ``repair``.
+
+    Tokens that no other reading can beat end the stretches that are searched (``Lexicon.token``, ``linked``).
+    """
+    out: list[str] = []
+    held: list[str] = []  # tokens and separators of the stretch that is not yet decoded
+
+    def close() -> None:
+        text, noise = lexicon.least("".join(held[:-1]))
+        page.noise |= noise
+        if repair:
+            out.append(text + held[-1])
+        held.clear()
+
+    tokens, word, linked = lexicon.tokens.get, lexicon.token, lexicon.linked
+    before: tuple | None = None
+    pending = ""  # the token before, with its separator, if it stands for itself so far
+    lines = [(x[:-1].replace("\xad", "") + x[-1] if "\xad" in x else x).split() for x in page.lines]
+    for n, words in enumerate(lines):
+        last = len(words) - 1
+        for j, t in enumerate(words):
+            sep = " " if j < last else "\n" if n + 1 < len(lines) else ""
+            divided = j == last and sep and len(t) > 1 and t[-1] in HYPHENS and t[-2].isalpha() and lines[n + 1] and lines[n + 1][0][0].isalnum()
+            state = tokens(t) or word(t)
+            tied = before is not None and (before is DIVIDED or linked(before, state))
+            if not tied:
+                if held:
+                    close()
+                elif pending:
+                    out.append(pending)
+                pending = ""
+            elif pending:
+                held.extend((pending[:-1], pending[-1]))
+                pending = ""
+            if tied or divided or state[0]:
+                held.extend((t, sep))
+            elif repair or state[2]:
+                pending = t + sep
+            before = DIVIDED if divided else state
+    if held:
+        close()
+    elif pending:
+        out.append(pending)
+    return paragraphs([x.split() for x in "".join(out).split("\n")], page) if repair else None
 
 
 def paragraphs(rows: list[list[str]], page: Page) -> str:
@@ -416,15 +632,17 @@ def paragraphs(rows: list[list[str]], page: Page) -> str:
     return out
 
 
-def corpus_lexicon(df: DataFrame, text: str = "text") -> Lexicon:
-    """The lexicon of all texts; what is fetched is bounded by ``RARE``."""
-    spark = df.sparkSession
+def corpus_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(w, n)``: the words of all texts, and those after elided articles; written once to the shared folder.
+
+    The two parts of a word that a line end divides are no words of their own.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for t in b["t"]:
-                seen.update(t.split())
+                seen.update(_DIVIDED.sub(" ", t).split())
             if len(seen) > 200_000:
                 yield pd.DataFrame({"w": pd.Series(list(seen.keys()), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
                 seen = Counter()
@@ -432,63 +650,131 @@ def corpus_lexicon(df: DataFrame, text: str = "text") -> Lexicon:
 
     counted = spread(df.select(F.col(text).cast("string").alias("t")).where("t is not null")).mapInPandas(tokens, "w string, n long")
     edge = "".join("\\" + c for c in _EDGE)
-    words = counted.withColumn("w", F.regexp_replace("w", f"^[{edge}]+|[{edge}]+$", "")).where(F.col("w").rlike(r"^[\p{L}][\p{L}\p{M}'’\-]*$")).groupBy("w").agg(F.sum("n").alias("n"))
-    words = checkpoint(words)
-    total = words.agg(F.sum("n")).first()[0] or 1
-    kept = words.where((F.col("n") > 1) & (F.col("n") >= RARE * total)).toPandas()
+    stripped = counted.withColumn("w", F.regexp_replace("w", f"^[{edge}]+|[{edge}]+$", "")).where(F.col("w").rlike(r"^[\p{L}][\p{L}\p{M}'’\-]*$"))
+    elided = F.regexp_extract("w", "^[^'’]{1,2}['’](.{3,})$", 1)
+    both = stripped.select(F.explode(F.array_compact(F.array(F.col("w"), F.when(elided != "", elided)))).alias("w"), "n")
+    return checkpoint(both.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+
+
+def corpus_lexicon(words: DataFrame, most: int = MAX_WORDS) -> tuple[Lexicon, DataFrame | None]:
+    """The lexicon of the ``most`` commonest words at most, and the table of all others (None if there are none)."""
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    held = words if kinds <= most else words.where(F.col("n") * most > total)
+    kept = held.toPandas()
     padded = F.concat(F.lit("^^^"), F.lower("w"), F.lit("$"))
     groups = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(4)))).alias("g"), F.ceil(F.sqrt("n")).cast("long").alias("n")).groupBy("g").agg(F.sum("n").alias("n"))
     groups = checkpoint(groups)
     size = groups.agg(F.sum("n")).first()[0] or 1
-    fours = groups.where(F.col("n") >= RARE * size).toPandas()
-    return Lexicon(dict(zip(kept["w"], kept["n"].astype(int))), dict(zip(fours["g"], fours["n"].astype(int))))
+    fours = groups.where(F.col("n") >= RARE_GROUP * size).toPandas()
+    rest = None if kinds <= most else words.where(F.col("n") * most <= total)
+    lexicon = Lexicon(dict(zip(kept["w"], kept["n"].astype(int))), dict(zip(fours["g"], fours["n"].astype(int))), total, 0.0 if rest is None else 1 / most)
+    return lexicon, rest
 
 
-def corpus_chapters(df: DataFrame, chapter: str = "chapter") -> set[str]:
-    """Squeezed chapter names that make at least ``RARE_CHAPTER`` of all, for rows without their own."""
-    c = df.where(F.col(chapter).isNotNull()).groupBy(chapter).count()
-    total = df.where(F.col(chapter).isNotNull()).count() or 1
-    return {x for r in c.where(F.col("count") >= RARE_CHAPTER * total).collect() if len(x := squeezed(r[0])) > 4}
+def corpus_chapters(df: DataFrame, chapter: str = "chapter", most: int = MAX_CHAPTERS) -> tuple[set[str], DataFrame | None]:
+    """Squeezed names of the commonest chapters, ``most`` at most, and the table of all others (None if there are none)."""
+    counted = df.where(F.col(chapter).isNotNull()).groupBy(F.col(chapter).cast("string").alias("c")).count()
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"c": b["c"].map(squeezed).astype(object), "n": b["count"]})
+
+    names = checkpoint(counted.mapInPandas(squeeze, "c string, n long").where(F.length("c") > 4).groupBy("c").agg(F.sum("n").alias("n")))
+    total, kinds = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    held = names if kinds <= most else names.where(F.col("n") * most > total)
+    return {r["c"] for r in held.select("c").collect()}, None if kinds <= most else names.where(F.col("n") * most <= total)
 
 
 def _rows(df: DataFrame, id_col: str) -> DataFrame:
-    return spread(df.select(F.col(id_col), *[F.col(c).cast("string").alias(c) for c in ("text", "document_name", "chapter")], F.col("page").cast("double").alias("page")).where(F.col(id_col).isNotNull() & F.col("text").isNotNull()))
+    return spread(df.select(F.col(id_col).alias("__id"), *[F.col(c).cast("string").alias(c) for c in ("text", "document_name", "chapter")], F.col("page").cast("double").alias("page")).where(F.col(id_col).isNotNull() & F.col("text").isNotNull()))
+
 
+def _pages(b: pd.DataFrame, chapters: list[Names], forms: dict[str, list[str]]) -> Iterator[Page]:
+    for text, name, chapter, page, names in zip(b["text"], b["document_name"], b["chapter"], b["page"], chapters):
+        name = name if isinstance(name, str) else None
+        if name not in forms:
+            if len(forms) > 50_000:
+                forms.clear()
+            forms[name] = titles(name)
+        yield Page(text, forms[name], squeezed(chapter) if isinstance(chapter, str) and chapter else None, names, page)
 
-def _each(df: DataFrame, id_col: str, repair: bool) -> DataFrame:
+
+def _each(df: DataFrame, id_col: str, repair: bool, max_words: int, max_chapters: int) -> DataFrame:
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((corpus_lexicon(df), corpus_chapters(df)))
+    lexicon, words = corpus_lexicon(corpus_words(df), max_words)
+    held, chapters = corpus_chapters(df, most=max_chapters)
+    sent = spark.sparkContext.broadcast((lexicon, held))
+    rows = _rows(df, id_col)
+    more = words is not None or chapters is not None
+    if more:
+        rows = _with_rest(rows, sent, words, chapters)
     out = T.StructField("text", T.StringType()) if repair else T.StructField("noise", T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, chapters = sent.value
-        known: dict[str, list[str]] = {}
+        lexicon, held = sent.value
+        forms: dict[str, list[str]] = {}
         for b in batches:
             ids, values = [], []
-            for key, text, name, chapter, page in zip(b[id_col], b["text"], b["document_name"], b["chapter"], b["page"]):
-                name = name if isinstance(name, str) else None
-                if name not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[name] = titles(name)
-                p = Page(text, known[name], squeezed(chapter) if isinstance(chapter, str) and chapter else None, chapters, page)
-                fixed = decode(p, lexicon, repair)
+            extra = [[(x["s"], x["n"], x["name"]) for x in e] if e is not None else [] for e in b["__more"]] if more else [[]] * len(b)
+            names = [Names(held, more=frozenset(s for s, _, is_name in e if is_name)) for e in extra] if more else [Names(held)] * len(b)
+            for key, page, e in zip(b["__id"], _pages(b, names, forms), extra):
+                new = [(s, n) for s, n, is_name in e if not is_name]
+                fixed = decode(page, lexicon.with_words(new) if new else lexicon, repair)
                 if repair:
                     ids.append(key)
                     values.append(fixed)
                 else:
-                    ids += [key] * len(p.noise)
-                    values += sorted(p.noise)
+                    ids += [key] * len(page.noise)
+                    values += sorted(page.noise)
             yield pd.DataFrame({id_col: pd.Series(ids, dtype=object), out.name: pd.Series(values, dtype=object)})
 
-    return _rows(df, id_col).mapInPandas(run, T.StructType([df.schema[id_col], out]))
+    return rows.mapInPandas(run, T.StructType([df.schema[id_col], out]))
 
 
-def find_noise(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """``(id_col, noise)``, one row per kind present."""
-    return _each(df, id_col, repair=False).distinct()
+def _with_rest(rows: DataFrame, sent, words: DataFrame | None, chapters: DataFrame | None) -> DataFrame:
+    """``rows`` with the words and chapters outside the broadcast part that their decoding may ask for.
 
+    Every page is decoded once by a lexicon that notes what it does not hold; what was noted meets the table of the
+    other words and chapters in an equi-join, and comes back as one list a page (no longer than the page's questions).
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("__key", F.md5(F.to_json(F.struct("text", "document_name", "chapter", "page"))))
 
-def repair(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, held = sent.value
+        forms: dict[str, list[str]] = {}
+        for b in batches:
+            keys, strings, kinds = [], [], []
+            asked_words: set[str] = set()
+            asked_names: set[str] = set()
+            noting = lexicon.noting(asked_words)
+            names = [Names(held, asked_names)] * len(b)
+            for key, page in zip(b["__key"], _pages(b, names, forms)):
+                noting._forget()  # what one page has asked, the next must ask too
+                decode(page, noting, False)
+                for found, is_name in ((asked_words, False), (asked_names, True)):
+                    keys += [key] * len(found)
+                    strings += found
+                    kinds += [is_name] * len(found)
+                    found.clear()
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "s": pd.Series(strings, dtype=object), "name": pd.Series(kinds, dtype=bool)})
+
+    asked = keyed.select("__key", "text", "document_name", "chapter", "page").mapInPandas(ask, "key string, s string, name boolean").distinct()
+    none = spark.createDataFrame([], "s string, whole string, n long, name boolean")
+    known = none
+    if words is not None:
+        known = known.unionByName(words.select(F.lower("w").alias("s"), F.col("w").alias("whole"), "n", F.lit(False).alias("name")))
+    if chapters is not None:
+        known = known.unionByName(chapters.select(F.col("c").alias("s"), F.col("c").alias("whole"), "n", F.lit(True).alias("name")))
+    answers = asked.join(known, ["s", "name"]).groupBy("key").agg(F.collect_list(F.struct(F.col("whole").alias("s"), "n", "name")).alias("__more"))
+    return keyed.join(answers, F.col("__key") == F.col("key"), "left").drop("__key", "key")
+
+
+def find_noise(df: DataFrame, id_col: str = "chunk_id", max_words: int = MAX_WORDS, max_chapters: int = MAX_CHAPTERS) -> DataFrame:
+    """``(id_col, noise)``, one row per kind present. The bounds of what is broadcast do not change the result."""
+    return _each(df, id_col, False, max_words, max_chapters).distinct()
+
+
+def repair(df: DataFrame, id_col: str = "chunk_id", max_words: int = MAX_WORDS, max_chapters: int = MAX_CHAPTERS) -> DataFrame:
     """``(id_col, text)`` with the text repaired, one row per id."""
-    return _each(df, id_col, repair=True).groupBy(id_col).agg(F.max("text").alias("text"))
+    return _each(df, id_col, True, max_words, max_chapters).groupBy(id_col).agg(F.max("text").alias("text"))

@@ -169,5 +169,55 @@ def test_misread_header_among_many_chapters():
     chapters = {f"storageofgoods{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"} | {"cleaningofmachines"}
     line = "Handbook of kitchems Cleaning of machines 7"
     for known in (chapters, {"cleaningofmachines"}):
-        assert O.header_line(line, ["handbookofkitchens"], known, None)
-        assert O.header_line(line, ["handbookofkitchens"], known, "drainageofrooms")
+        assert O.header_line(line, ["handbookofkitchens"], O.Names(known), None)
+        assert O.header_line(line, ["handbookofkitchens"], O.Names(known), "drainageofrooms")
+
+
+def test_cut_and_joined_words(spark):
+    """Words cut by a space or a bare line end, and words run together, are found by the search over the stream."""
+    want = CLEAN.replace("Keep", "The driver found it. Keep")
+    t = {"cut": want.replace("cabinet", "cabi net").replace("jewellery", "jewel lery"), "joined": want.replace("the reading", "thereading").replace("holding cabinet", "holdingcabinet"), "bare": want.replace("conveyor", "conv\neyor"), "both": want.replace("cabinet", "c@bi net").replace("conveyor belt", "convey0r belt")}
+    df = spark.createDataFrame([(k, x, None, None, None) for k, x in t.items()] + [(f"n{i}", want, None, None, None) for i in range(300)], "chunk_id string, text string, document_name string, chapter string, page int")
+    got = {r.chunk_id: r.text for r in O.repair(df).collect()}
+    assert {k: got[k] for k in t} == dict.fromkeys(t, want)
+    noise = sorted((r.chunk_id, r.noise) for r in O.find_noise(df).collect())
+    assert noise == [("bare", "hyphenation"), ("both", "misread")]
+
+
+def test_words_beyond_the_broadcast_part(scanned):
+    """With a lexicon and chapters larger than what is broadcast the result is the same."""
+    for f in (O.find_noise, O.repair):
+        want = sorted(map(tuple, f(scanned).collect()))
+        assert sorted(map(tuple, f(scanned, max_words=9, max_chapters=0).collect())) == want
+
+
+def test_least_cost_equals_search_without_pruning():
+    """The stretches that are searched give what a search over the whole stream gives."""
+    rng = random.Random(5)
+    words = {w: rng.randrange(5, 4000) for w in "the of and cook checks holding cabinet hold ing reading form writes in conveyor belt a cab before each shift line".split()}
+    groups = Counter()
+    for w, n in words.items():
+        for i in range(len(w) + 1):
+            groups[f"^^^{w}$"[i : i + 4]] += n
+    for _ in range(300):
+        text = " ".join(rng.choice(list(words)) for _ in range(7))
+        for _ in range(rng.randrange(2)):
+            i = rng.randrange(1, len(text) - 1)
+            text = text[:i] + rng.choice([" ", "", "-\n", "\n", "1"]) + text[i + rng.randrange(2) :]
+        text = "\n".join(" ".join(x.split()) for x in text.split("\n")).strip("\n")
+        page, whole = (O.Page(text, [], None, O.Names(set()), None) for _ in range(2))
+        pruned, full = O.Lexicon(words, groups), O.Lexicon(words, groups)
+        full.token = lambda t, f=full: (True, *O.Lexicon.token(f, t)[1:])
+        full.linked = lambda a, b: True
+        full.tokens = {}
+        assert O.decode(page, pruned, True) == O.decode(whole, full, True) and page.noise == whole.noise
+
+
+def test_headers_without_titles(spark):
+    """Where no title is known a header is told by its look."""
+    a, b = "Before each shift the line cook checks", "the holding cabinet and the belt."
+    for head in ("Cold Chain Handbook - Receiving Goods", "COLD CHAIN HANDBOOK", "17 | Cold Chain Handbook", "دليل سلسلة التبريد"):
+        p = O.Page(f"{a}\n{head}\n{b}", [], None, O.Names(set()), None)
+        assert "running_header" in p.noise and p.lines == [a, b]
+    p = O.Page(f"{a}\n{b}", [], None, O.Names(set()), None)
+    assert p.lines == [a, b] and not p.noise
