@@ -12,7 +12,9 @@ so the error of every answer is known exactly instead of being assumed.
   never changes its interval, only the gaps between the tuples grow.
 * query: the answer for rank r is the tuple with the least ``max(r - lo, hi - r)``; that number is
   returned as ``rank_error`` (in rows). Every compression adds at most ``1 / (2 * size)`` of the rows it
-  has seen to the gap, so three levels with ``size = 2 / epsilon`` stay below ``epsilon * n``.
+  has seen to the error, and a value passes one when it is buffered, one a level of each merge tree, and one at the end of each
+  tree. ``LEVELS`` of them stay below ``epsilon * n`` with ``size = LEVELS / (2 * epsilon)``; all trees are balanced, so that
+  is enough for 2^24 buffers of ``BUFFER_ROWS`` values (4 * 10^12) in three stages and two further merges of days or parts.
 
 Groups of at most ``size`` values are exact. Defined cases: null values are left out, NaN counts as
 the largest value, infinities are values like any other; a null group is a group of its own; a group
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPSILON = 0.002
+#: Compressions a value may pass for the bound to hold.
+LEVELS = 32
 #: Values buffered per task before they become summaries.
 BUFFER_ROWS = 262_144
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -212,9 +216,9 @@ def merge_summaries(summaries: DataFrame, groups: Sequence[str], size: int, fan_
     return first.repartition(*groups).mapInArrow(tree, schema)
 
 
-def tuples(epsilon: float) -> int:
-    """Tuples a summary keeps for an error of ``epsilon``."""
-    return int(np.ceil(2 / epsilon))
+def tuples(epsilon: float, levels: int = LEVELS) -> int:
+    """Tuples a summary keeps for an error of ``epsilon`` after ``levels`` compressions."""
+    return int(np.ceil(levels / (2 * epsilon)))
 
 
 def summarize(df: DataFrame, value: str, groups: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
@@ -224,15 +228,27 @@ def summarize(df: DataFrame, value: str, groups: Sequence[str], epsilon: float =
 
 
 def percentiles(summaries: DataFrame, groups: Sequence[str], quantiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """``groups + (n, quantile, value, rank, rank_error)``, one row per group and quantile, JVM-side."""
-    best = """transform(quantile_list, q -> array_min(transform(arrays_zip(values, lo, hi), t -> named_struct(
-        'rank_error', greatest(0L, greatest(bigint(greatest(1, ceil(round(q * n, 9)))) - t.lo, t.hi - bigint(greatest(1, ceil(round(q * n, 9)))))),
-        'value', t.values, 'rank', bigint(greatest(1, ceil(round(q * n, 9)))), 'quantile', q))))"""
-    listed = F.array(*[F.lit(float(q)) for q in quantiles])
-    rows = summaries.withColumn("n", F.element_at("hi", -1)).withColumn("quantile_list", listed)
-    return rows.select(*groups, "n", F.explode(F.expr(best)).alias("b")).select(*groups, "n", "b.quantile", "b.value", "b.rank", "b.rank_error")
+    """``groups + (n, quantile, value, rank, rank_error)``, one row per group and quantile; map-only."""
+    narrow = summaries.select(*groups, "values", "lo", "hi")
+    own = [narrow.schema[g] for g in groups]
+    schema = T.StructType([*own, T.StructField("n", T.LongType()), T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("rank", T.LongType()), T.StructField("rank_error", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, (flat, lo, hi) = len(groups), (batch.column(len(groups) + i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
+            ends = np.cumsum(batch.column(at).value_lengths().to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, int)
+            found = []
+            for a, b in zip([0, *ends[:-1]], ends):
+                s = flat[a:b], lo[a:b], hi[a:b]
+                found += [(count(s), q, *query(s, q)) for q in quantiles]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), len(quantiles)))
+            columns = [batch.column(i).take(row) for i in range(at)] + [pa.array(list(x), k) for x, k in zip(zip(*found) if found else [()] * 5, (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return narrow.mapInArrow(run, schema)
 
 
 def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``key + columns`` with each ``key`` counted once; of unlike rows the greatest, a null key is one key."""
-    return df.groupBy(key).agg(F.max(F.struct(*columns)).alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    """``key + columns`` with each ``key`` counted once, of unlike rows the greatest; a row without a key is a row of its own."""
+    named = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns)).alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    return named.unionByName(df.where(F.col(key).isNull()).select(key, *columns))

@@ -33,6 +33,14 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(days.unionByName(total), ["operation_name", "day"])
 
 
+def p3_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each operation over the whole log, summarised without a division by days."""
+    from millrace.llm.quantiles import once, percentiles, summarize
+
+    rows = once(table(spark, d, "latency_metrics"), "metric_id", ["operation_name", "duration_ms"])
+    return percentiles(summarize(rows, "duration_ms", ["operation_name"]), ["operation_name"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.language import label_issues
 
@@ -78,7 +86,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p4_found, p4_languages, p5_found, p5_repaired, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_operations, p4_found, p4_languages, p5_found, p5_repaired, p6_ids, p7_found, p8_found)}
 
 
 #: Every pair of vectors compared; the small tables allow it, and the approximate search finds the same pairs there.

@@ -144,6 +144,31 @@ def test_parts_combine(spark):
     assert total.n == 5000 and max(0, a - total["rank"], total["rank"] - b) <= total.rank_error <= 100
 
 
+def test_bound_holds_for_deep_trees():
+    """4,096 parts merged pairwise: the tracked error, and the true one, stay within epsilon of the rows."""
+    rng = np.random.default_rng(8)
+    epsilon, parts, rows = 0.01, 1 << 12, 400
+    data = np.round(rng.lognormal(size=(parts, rows)), 3)
+    size = Q.tuples(epsilon)
+    level = [Q.compress(Q.exact(x), size // 8) for x in data]  # an eighth of the size, so that every level compresses
+    depth = 0
+    while len(level) > 1:
+        level = [Q.compress(Q.merge(a, b), size) for a, b in zip(level[::2], level[1::2])]
+        depth += 1
+    whole, n = np.sort(data.ravel()), parts * rows
+    assert depth == 12 and Q.count(level[0]) == n and len(level[0][0]) <= size + 2
+    for q in np.linspace(0, 1, 101):
+        v, r, e = Q.query(level[0], q)
+        a, b = np.searchsorted(whole, v, "left") + 1, np.searchsorted(whole, v, "right")
+        assert max(0, a - r, r - b) <= e <= epsilon * n
+
+
+def test_rows_without_an_id(spark):
+    """Rows without an id are rows of their own."""
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "a", 1.0), (None, "a", 3.0), (1, "a", 2.0), (1, "a", 2.0)], "metric_id long, name string, d double")
+    assert sorted(r.d for r in Q.once(df, "metric_id", ["name", "d"]).collect()) == [1.0, 1.0, 2.0, 3.0]
+
+
 def test_special_values():
     v, r, e = Q.query(Q.exact(np.array([np.inf, -np.inf, np.nan, 0.0])), 0.5)
     assert (v, r, e) == (0.0, 2, 0)
