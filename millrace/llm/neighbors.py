@@ -7,13 +7,15 @@ shifts the cube and gives each vector its Hilbert key. All orderings are range-p
 of its key window by one matrix product per block. What travels is a sketch of four bits a dimension.
 The windows' candidates are merged over the orderings and reranked with the full vectors. A row with more
 than ``CROWD`` candidates, in a window or in all orderings, lies in a dense group, where windows and sketches
-cannot tell the nearest: it, and with a crowded window those candidates, are compared with all rows in double precision instead, tile by tile.
+cannot tell the nearest: it, and with a crowded window those candidates, are compared exactly with all rows that can be
+similar enough, which the triangle inequality of angles to a few centres tells, tile by tile (``_crowded_lists``).
 
 Copies of one vector are folded before (a third of all rows may be copies of one vector) and expanded
 after: of equal vectors only the ``k + 1`` smallest ids can be in any list of k, so the expansion is
 bounded and still exact; all later ids have the list of the last of these. Cost: rows * orderings * (block + window) multiply-adds a dimension; shuffled
 are one copy of the vectors and ``orderings`` sketches a row. No pair of windows is ever broadcast. Crowded
-rows cost crowded rows * rows multiply-adds a dimension on top, and a copy of their vectors a slice.
+rows cost crowded rows * rows near their centre multiply-adds a dimension on top, and a copy of their vectors a slice:
+a dense group costs the square of its size, which no curve avoids where a group has no structure of few dimensions.
 
 Accuracy: a pair without a crowded row is lost only if no ordering brings it within a window; rows at the ends of a range
 partition see one side only, which another ordering makes up for.
@@ -35,19 +37,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-ORDERINGS = 12
+from millrace.plans.runtime import checkpoint
+
+ORDERINGS = 10
 CURVE_DIMS = 8
 CURVE_BITS = 5
-WINDOW = 256
+WINDOW = 512
 BLOCK = 256
 #: Allowance for the error of the four-bit sketches when candidates are cut by similarity.
 SKETCH_SLACK = 0.08
 #: A row with more candidates than this, in one window or altogether, is compared with all rows.
 CROWD = 64
-#: Crowded rows of one tile of the exact comparison.
-TILE = 32_768
-#: Allowance for the rounding of cosines in double precision.
-ROUNDING = 1e-13
+#: Centres among the crowded rows; crowded rows and other rows of one tile of the exact comparison.
+PIVOTS = 64
+TILE, SLICE = 32_768, 65_536
+#: Allowance for the rounding of cosines in single precision.
+SINGLE = 2e-6
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -151,23 +156,24 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
 
 
-def _exact(x: np.ndarray, y: np.ndarray, same: np.ndarray, order: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``x`` the ``k`` most similar rows of ``y``: two index arrays and the cosines.
-    ``same`` is the row of ``y`` that is the row of ``x`` itself, or -1; ties go to the smaller ``order``."""
+def _units(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        m = m.astype(np.float64)
-        m /= np.abs(m).max(axis=1, keepdims=True)
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    u, v = unit(x), unit(y).T
+def _exact(x: np.ndarray, y: np.ndarray, same: np.ndarray, order: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` the ``k`` most similar rows of ``y``: two index arrays and the cosines.
+    ``same`` is the row of ``y`` that is the row of ``x`` itself, or -1; ties go to the smaller ``order``.
+    Products in single precision leave what may be among them, and those are computed in double precision."""
+    u, v = _units(x).astype(np.float32), np.ascontiguousarray(_units(y).T, np.float32)
     left, right, cosines = [], [], []
     for a in range(0, len(x), BLOCK):
         s = u[a : a + BLOCK] @ v
         own = same[a : a + BLOCK]
         s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
         low = np.full(len(s), least) if len(y) <= k else np.maximum(np.partition(s, -k, axis=1)[:, -k], least)
-        i, j = np.nonzero(s >= low[:, None] - ROUNDING)
+        i, j = np.nonzero(s >= (low[:, None] - SINGLE).astype(np.float32))
         for part in np.array_split(np.arange(len(i)), len(i) // 1_000_000 + 1):
             c = _cosines(x[a + i[part]], y[j[part]])
             left.append(a + i[part]), right.append(j[part]), cosines.append(c)
@@ -179,17 +185,53 @@ def _exact(x: np.ndarray, y: np.ndarray, same: np.ndarray, order: np.ndarray, k:
     return i[kept], j[kept], c[kept]
 
 
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_units(x) @ pivots.T, -1, 1))
+
+
 def _crowded_lists(unique: DataFrame, crowded: DataFrame, k: int, least: float, dim: int) -> DataFrame:
-    """``(ha, ga, hb, gb, cosine)``: the ``k`` most similar different vectors of each crowded one, by comparison with all.
+    """``(ha, ga, hb, gb, cosine)``: the ``k`` most similar different vectors of each crowded one, by comparison with all it can be similar to.
 
-    Pieces of the crowded rows meet slices of all rows in tiles; without crowded rows nothing is sent.
+    At most ``PIVOTS`` crowded vectors serve as centres. A crowded row goes to its nearest centre; another row is compared
+    with a centre's rows only if its angle to the centre is at most the greatest of theirs and the angle of ``least``
+    together, as no other can be similar enough. Tiles of both meet, of ``TILE`` rows and ``SLICE`` rows at most; without crowded rows nothing is sent.
     """
-    slices = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = F.broadcast(crowded.agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces")).where("pieces > 0"))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    ask = unique.join(crowded, ["h", "g"]).crossJoin(pieces).select(F.lit(True).alias("asks"), "h", "g", "id", "v", F.pmod("h", "pieces").cast("int").alias("piece"), numbers(F.lit(slices)).alias("slice"))
-    told = unique.crossJoin(pieces).select(F.lit(False).alias("asks"), "h", "g", "id", "v", numbers(F.col("pieces")).alias("piece"), F.pmod("h", F.lit(slices)).cast("int").alias("slice"))
+    spark = unique.sparkSession
     names = ["ha", "ga", "hb", "gb", "idb", "cosine"]
+    kinds = T.StructType(list(map(T.StructField, names, [T.LongType()] * 4 + [unique.schema["id"].dataType, T.DoubleType()])))
+    crowded = checkpoint(crowded)
+    if crowded.isEmpty():
+        return spark.createDataFrame([], kinds).drop("idb")
+    asks = checkpoint(unique.join(crowded, ["h", "g"]).select("h", "g", "id", "v"))
+    chosen = asks.orderBy("h", "g").limit(PIVOTS).select("v").collect()  # h is a hash, so these are any rows
+    pivots = _units(np.array([r["v"] for r in chosen], np.float32))
+    tagged = T.StructType([*asks.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    reach = float(np.arccos(max(-1.0, min(1.0, least)))) + 1e-6
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                angle = _angles(_matrix(b.column(3), dim), pivots)
+                best = angle.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32)), pa.array(angle[np.arange(len(best)), best])], names=tagged.names)
+
+    asked = checkpoint(asks.mapInArrow(near, tagged))
+    sizes = {r["pivot"]: (r["n"], r["radius"]) for r in asked.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # PIVOTS rows at most
+    radius = np.array([sizes.get(p, (0, -1e9))[1] for p in range(len(pivots))]) + reach
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i, p = np.nonzero(_angles(_matrix(b.column(3), dim), pivots) <= radius)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i)) for c in b.columns], pa.array(p.astype(np.int32))], names=tagged.names[:-1])
+
+    told = checkpoint(unique.select("h", "g", "id", "v").mapInArrow(reached, T.StructType(tagged.fields[:-1])))
+    others = {r["pivot"]: r["count"] for r in told.groupBy("pivot").count().collect()}
+    pieces, slices = {p: -(-n // TILE) for p, (n, _) in sizes.items()}, {p: -(-n // SLICE) for p, n in others.items()}
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("pivot"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    ask = asked.withColumn("piece", F.pmod("h", of(pieces)).cast("int")).select(F.lit(True).alias("asks"), "h", "g", "id", "v", "pivot", "piece", numbers(of(slices)).alias("slice"))
+    tell = told.withColumn("slice", F.pmod("h", of(slices)).cast("int")).select(F.lit(False).alias("asks"), "h", "g", "id", "v", "pivot", numbers(of(pieces)).alias("piece"), "slice")
 
     def tile(t: pa.Table) -> pa.Table:
         a, b = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
@@ -201,8 +243,7 @@ def _crowded_lists(unique: DataFrame, crowded: DataFrame, k: int, least: float,
         i, j, c = _exact(x, y, same, order, k, least) if len(x) and len(y) else (np.empty(0, int), np.empty(0, int), np.empty(0))
         return pa.table([a["h"].take(i), a["g"].take(i), b["h"].take(j), b["g"].take(j), b["id"].take(j), pa.array(c)], names=names)
 
-    kinds = [T.LongType()] * 4 + [unique.schema["id"].dataType, T.DoubleType()]
-    met = ask.unionByName(told).groupBy("piece", "slice").applyInArrow(tile, T.StructType(list(map(T.StructField, names, kinds))))
+    met = ask.unionByName(tell).groupBy("pivot", "piece", "slice").applyInArrow(tile, kinds)
     best = Window.partitionBy("ha", "ga").orderBy(F.desc("cosine"), "idb")
     return met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "idb")
 
@@ -259,6 +300,7 @@ def _lists(df: DataFrame, id_col: str, vector_col: str, k: int = 10, min_cosine:
     ranged = keyed.repartitionByRange("key").sortWithinPartitions("key")
     met = ranged.mapInArrow(windows, "ha long, ga long, hb long, gb long").distinct()
     marked = (F.col("ha") == F.col("hb")) & (F.col("ga") == F.col("gb"))
+    met = checkpoint(met)
     candidates = met.where(~marked)
     # groups that are spread thinner fill no single window, but the candidates of all orderings together
     ends = met.select(F.explode(F.array(F.struct(F.col("ha").alias("h"), F.col("ga").alias("g"), marked.alias("m")), F.struct(F.col("hb").alias("h"), F.col("gb").alias("g"), marked.alias("m")))).alias("e")).select("e.*")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,49 +30,60 @@ def clustered(rng, groups, copies, dim=64, spread=0.035):
     return (x * rng.uniform(0.3, 4, size=(len(x), 1))).astype(np.float32)
 
 
-def brute(ids, x, k, least):
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = (u.astype(np.float64) @ u.T.astype(np.float64))
-    np.fill_diagonal(s, -2)
-    near = {i: [j for j in sorted(range(len(x)), key=lambda j: (-round(s[i, j], 12), ids[j]))[:k] if s[i, j] >= least] for i in range(len(x))}
-    return {tuple(sorted((ids[i], ids[j]))) for i in near for j in near[i] if i in near[j]}
+def near_lists(x, k, least):
+    """The k most similar others of every row, by comparison with all."""
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    out = []
+    for a in range(0, len(x), 1000):
+        s = u[a : a + 1000] @ u.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+        near = np.argpartition(-s, k, axis=1)[:, :k]
+        out += [[int(j) for j in n if v[j] >= least] for n, v in zip(near, s)]
+    return out
 
 
-def test_mutual_pairs_recall(spark):
-    x = clustered(np.random.default_rng(0), 900, 4)
-    ids = [f"c{i:05d}" for i in range(len(x))]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "chunk_id string, embedding array<float>")
-    got = {(r[0], r[1]) for r in N.mutual_pairs(df, "chunk_id", "embedding").collect()}
-    want = brute(ids, x, 10, 0.9)
-    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
+def mutual(ids, lists):
+    return {tuple(sorted((ids[i], ids[j]))) for i, near in enumerate(lists) for j in near if i in lists[j]}
 
 
-def found(spark, ids, x):
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "chunk_id string, embedding array<float>")
-    return {(r[0], r[1]) for r in N.mutual_pairs(df, "chunk_id", "embedding").collect()}
+def frame(spark, folder, ids, x):
+    pq.write_table(pa.table({"chunk_id": ids, "embedding": list(x)}), folder / "vectors.parquet")
+    return spark.read.parquet(str(folder / "vectors.parquet"))
 
 
-@pytest.mark.parametrize("spread", [0.004, 0.02])
-def test_large_group_of_near_copies(spark, spread):
-    rng = np.random.default_rng(7)
-    x = np.concatenate((clustered(rng, 1, 400, spread=spread), clustered(rng, 200, 3)))
-    ids = [f"c{i:05d}" for i in rng.permutation(len(x))]
-    got, want = found(spark, ids, x), brute(ids, x, 10, 0.9)
-    assert len(want) > 1000 and got == want
+def test_mutual_pairs_recall(spark, tmp_path):
+    x = clustered(np.random.default_rng(0), 900, 4)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    got = {(r[0], r[1]) for r in N.mutual_pairs(frame(spark, tmp_path, ids, x), "chunk_id", "embedding").collect()}
+    want = mutual(ids, near_lists(x, 10, 0.9))
+    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
 
 
-def test_dense_group_of_a_third_of_the_rows(spark):
-    rng = np.random.default_rng(9)
-    x = np.concatenate((clustered(rng, 1, 1200, spread=0.05), clustered(rng, 2400, 1)))
+def test_dense_groups(spark, tmp_path, monkeypatch):
+    """Groups of 200, 1,000 and 3,000 rows at cosines of about 0.95 and 0.997: recall by set, with several centres and tiles."""
+    for name, value in (("PIVOTS", 5), ("TILE", 700), ("SLICE", 900)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(7)
+    shapes = [(200, 0.0286), (200, 0.0068), (1000, 0.0286), (3000, 0.0068)]
+    x = np.concatenate([clustered(rng, 1, size, spread=spread) for size, spread in shapes] + [clustered(rng, 400, 3)])
+    group = np.repeat(np.arange(len(shapes) + 1), [size for size, _ in shapes] + [1200])
     ids = [f"c{i:05d}" for i in rng.permutation(len(x))]
-    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    near = np.argsort(-s, axis=1)[:, :10]
-    lists = {(i, j) for i in range(len(x)) for j in near[i] if s[i, j] >= 0.9}
-    want = {tuple(sorted((ids[i], ids[j]))) for i, j in lists if (j, i) in lists}
-    got = found(spark, ids, x)
-    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+    of = dict(zip(ids, group))
+    want = mutual(ids, near_lists(x, 10, 0.9))
+    got = {(r[0], r[1]) for r in N.mutual_pairs(frame(spark, tmp_path, ids, x), "chunk_id", "embedding").collect()}
+    for g in range(len(shapes) + 1):
+        mine = {p for p in want if of[p[0]] == g}
+        assert len(mine) > 200 and len(mine & got) >= 0.99 * len(mine)
+    assert len(got - want) <= 0.001 * len(got)  # ties of the last digit
+
+
+def test_lists_without_a_threshold(spark, tmp_path):
+    """Every id has its k most similar others whatever their cosine."""
+    x = np.random.default_rng(3).normal(size=(700, 64)).astype(np.float32)
+    df = frame(spark, tmp_path, list(range(len(x))), x)
+    got = {(r.chunk_id, r.neighbour) for r in N.nearest(df, "chunk_id", "embedding", k=5, min_cosine=-1.0).withColumnRenamed("id", "chunk_id").collect()}
+    want = {(i, j) for i, near in enumerate(near_lists(x, 5, -1)) for j in near}
+    assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
 
 
 def test_exact_comparison_breaks_ties_by_id():
