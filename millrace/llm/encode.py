@@ -31,7 +31,7 @@ from millrace.plans.runtime import spread
 #: The pre-tokenising pattern that belongs to the vocabulary file (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF_CHARS = 4096
+LEAF_CHARS = 256
 WINDOW_CHARS = 64
 
 _SAFE = re.compile(r"(?<=\S)(?=\s)")

@@ -11,8 +11,11 @@ Every candidate is then verified exactly on word level: at least ``RUN`` words o
 at most one edit, or ``LONG_RUN`` with at most one in ``ONE_IN``. Windows of the document that cannot
 agree with any item's are skipped by counts that no passage within these limits fails to meet.
 
-The items are a stated set of fixed size: their index is broadcast after its size is checked
-(``MAX_INDEX_WORDS``); beyond it they are processed in blocks of items. The corpus is read once, map-only.
+Verified are stretches of document and item around the windows that agree, never whole texts: a passage of 60 item words or
+more has a half that is within the limits too, so one of 59 words at most lies around a window, within ``REACH``.
+
+The items are a stated set of fixed size: their index is broadcast in blocks of ``MAX_INDEX_WORDS`` words (640 bytes a
+word at most, with the walks' steps), which are made one after another. The corpus is read once a block, map-only.
 
 Words are cut at white space after look-alikes, accents, case and punctuation are folded.
 Defined cases: null and empty texts hold no passage and are none; items with fewer than ``RUN`` words
@@ -38,7 +41,10 @@ WINDOW = 15
 RUN, LONG_RUN, ONE_IN = 15, 30, 7
 REPEATS = 10
 SAMPLED = 5
-MAX_INDEX_WORDS = 2_000_000
+MAX_INDEX_WORDS = 250_000
+#: Words around an agreeing window in which a shortest passage lies; document and item words of one verification, overlaps apart.
+REACH = 2 * LONG_RUN + 2 * LONG_RUN // ONE_IN + 2
+DOC_PIECE, ITEM_PIECE = 512, 1024
 BATCH_WORDS = 400_000
 
 _DROP = re.compile(r"[^\w\s]|_")
@@ -83,8 +89,8 @@ class Index:
         self.samples = []
         for r in range(REPEATS):
             s = self.sample(self.flat, first, r)
-            pairs = np.unique(np.stack((s, self.owner[first])), axis=1) if len(first) else np.zeros((2, 0), np.int64)
-            self.samples.append((pairs[0], pairs[1]))
+            order = np.argsort(s, kind="stable")
+            self.samples.append((s[order], first[order]))
 
     def sample(self, ids: np.ndarray, first: np.ndarray, r: int) -> np.ndarray:
         """Hashes of the sampled positions of walk ``r`` over the windows that begin at ``first``."""
@@ -102,16 +108,16 @@ class Index:
         return out
 
     def items_of(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate (window number, item number) pairs."""
+        """Candidate (window number, place among all items' words) pairs."""
         got = []
         for r in range(REPEATS):
-            s, owner = self.samples[r]
+            s, place = self.samples[r]
             h = self.sample(ids, first, r)
             lo, hi = np.searchsorted(s, h, "left"), np.searchsorted(s, h, "right")
             n = hi - lo
             w = np.repeat(np.arange(len(h)), n)
             inner = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-            got.append((w, owner[np.repeat(lo, n) + inner]))
+            got.append((w, place[np.repeat(lo, n) + inner]))
         return tuple(np.concatenate(x) for x in zip(*got))
 
 
@@ -196,16 +202,38 @@ def scan(index: Index, docs: list[tuple[object, str]]) -> Iterator[tuple[object,
     first = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= WINDOW - 3)
     if not len(first):
         return
-    window, item = index.items_of(ids, first)
+    window, place = index.items_of(ids, first)
+    if not len(window):
+        return
     starts = np.array(starts)
-    doc = np.searchsorted(starts, first[window], "right") - 1
-    pairs = np.unique(doc * len(index.items) + item)
     ends = np.concatenate((starts[1:], [n])) - WINDOW
-    for d in np.unique(pairs // max(1, len(index.items))):
+    doc, item = np.searchsorted(starts, first[window], "right") - 1, index.owner[place]
+    order = np.lexsort((first[window], item, doc))
+    doc, item, at, place = doc[order], item[order], first[window][order], place[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))
+    possible: tuple[int, set] = (-1, set())
+    for a, b in zip(new, [*new[1:], len(doc)]):
+        d, c = int(doc[a]), int(item[a])
         own = ids[starts[d] : ends[d]]
-        for c in _possible(index, own, pairs[pairs // len(index.items) == d] % len(index.items)):
-            if holds(index.items[c], own):
-                yield docs[d][0], index.keys[c]
+        if possible[0] != d:
+            possible = d, set(_possible(index, own, np.unique(item[doc.searchsorted(d) : doc.searchsorted(d, "right")])).tolist())
+        if c in possible[1] and any(holds(x, y) for x, y in _stretches(index.items[c], own, at[a:b] - starts[d], place[a:b] - index.starts[c])):
+            yield docs[d][0], index.keys[c]
+
+
+def _stretches(item: np.ndarray, doc: np.ndarray, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of item and document around windows that agree, of bounded length; ``at`` is sorted."""
+    piece = at // DOC_PIECE
+    for p in np.unique(piece):
+        mine = piece == p
+        lo, hi = at[mine][0], at[mine][-1] + WINDOW
+        y = doc[max(0, lo - REACH) : hi + REACH]
+        q = np.unique(place[mine])
+        for run in np.split(q, np.flatnonzero(np.diff(q) > 2 * REACH) + 1):
+            for first in range(int(run[0]), int(run[-1]) + 1, ITEM_PIECE):
+                inside = run[(run >= first) & (run < first + ITEM_PIECE)]
+                if len(inside):
+                    yield item[max(0, inside[0] - REACH) : inside[-1] + WINDOW + REACH], y
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = MAX_INDEX_WORDS) -> DataFrame:
@@ -213,16 +241,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     spark = docs.sparkSession
     stated = items.select(F.col(item_id).alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null").distinct()
     kinds = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
-    # the items are the stated query set; they are fetched row by row and cut to blocks of checked size
-    blocks: list[list[tuple]] = [[]]
-    filled = 0
-    for r in stated.toLocalIterator():
-        n = r["t"].count(" ") + 1
-        if filled and filled + n > block_words:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append((r["k"], r["t"]))
-        filled += n
+
+    def blocks() -> Iterator[list[tuple]]:
+        """The items, fetched row by row; only one block of checked size is held."""
+        held, filled = [], 0
+        for r in stated.toLocalIterator():
+            n = len(r["t"].split())
+            if held and filled + n > block_words:
+                yield held
+                held, filled = [], 0
+            held.append((r["k"], r["t"]))
+            filled += n
+        yield held
+
     narrow = spread(docs.select(F.col(doc_id), F.col(doc_text).cast("string").alias("__text")).where("__text is not null"))
 
     def one(block: list[tuple]) -> DataFrame:
@@ -248,4 +279,4 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
 
         return narrow.mapInArrow(run, kinds)
 
-    return reduce(DataFrame.unionByName, map(one, blocks)).distinct()
+    return reduce(DataFrame.unionByName, map(one, blocks())).distinct()

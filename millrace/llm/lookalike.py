@@ -48,6 +48,8 @@ LOOKALIKES = {
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<font>")
 #: Compatibility decompositions that are drawn the same (besides width, spacing and presentation forms).
 SAME_COMPAT = {"℃", "℉", "…", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "Ĳ", "ĳ", "Ǉ", "ǈ", "ǉ", "Ǌ", "ǋ", "ǌ", "Ǳ", "ǲ", "ǳ", "µ", "№", "‼", "⁇", "⁈", "⁉", "′", "″"}
+#: Pieces of a text's copies.
+SALTS = 16
 JOINERS = "\u200c\u200d"
 BLOCKS = ((0x20, 0x24F), (0x600, 0x6FF), (0x2010, 0x2040), (0x20A0, 0x20BF))
 
@@ -155,8 +157,9 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = rows.where(F.col("text").isNull() | ~active).select(id_col, "text", tidy(F.col("text")).alias("form"))
 
     down, up = _tables(spark)
-    # a text that stands under several ids is folded once; the key also makes repeated ids harmless
-    hot = rows.where(active).withColumn("__k", F.md5("text"))
+    # a text that stands under several ids is folded at most SALTS times, so that its copies are not one task's join
+    # (there may be a third of all rows of them); the key also makes repeated ids harmless
+    hot = rows.where(active).withColumn("__k", F.concat(F.md5("text"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("string")))
     distinct = hot.groupBy("__k").agg(F.first("text").alias("text"))
     # every code point gets its position; a run of inert ones that no mark can follow stays one piece
     points = distinct.select("__k", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", _LOOSE_JOINER, ""), F.lit(f"[{inert}]+(?![^{inert}])|(?s)."), F.lit(0))).alias("pos", "cp"))
@@ -176,12 +179,42 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.unionByName(folded)
 
 
-def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_a, id_b)``, smaller id first: rows whose stored texts differ while their forms are equal."""
+def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, fk, tk)``: hashes of form and text of every row with an id and visible characters, written once (40 bytes a row)."""
     forms = canonical(df, id_col, text_col).where("form <> ''")
-    keys = forms.select(F.col(id_col).alias("id"), F.unhex(F.md5("form")).alias("fk"), F.unhex(F.md5("text")).alias("tk")).where("id is not null")
-    keys = checkpoint(keys)  # the texts are folded once; what is kept are 40 bytes a row
-    several = keys.groupBy("fk").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo <> hi").select("fk")
+    return checkpoint(forms.select(F.col(id_col).alias("id"), F.unhex(F.md5("form")).alias("fk"), F.unhex(F.md5("text")).alias("tk")).where("id is not null").distinct())
+
+
+def same_look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, class_id, links)``: every row of a class with several stored texts, its class (the smallest id in it), and the
+    number of rows in the class whose stored text differs. One row a document whatever the size of a class."""
+    keys = _classes(df, id_col, text_col)
+    texts = keys.groupBy("fk", "tk").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    whole = texts.groupBy("fk").agg(F.sum("n").alias("total"), F.min("first").alias("class_id"), F.count("*").alias("texts")).where("texts > 1")
+    links = texts.join(whole, "fk").select("fk", "tk", "class_id", (F.col("total") - F.col("n")).alias("links"))
+    # the copies of one text are joined in pieces, each with its own row of the class
+    piece = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    split = links.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("__piece", F.col("__piece").cast("long"))
+    return keys.withColumn("__piece", piece).join(split, ["fk", "tk", "__piece"]).select(F.col("id").alias(id_col), "class_id", "links")
+
+
+def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_a, id_b)``, smaller id first: rows whose stored texts differ while their forms are equal.
+
+    All pairs of a class are its result here, so its size is that of the square of the class; :func:`same_look_classes`
+    has the same links in one row a document. The texts of a class are paired first, then their rows; the
+    rows of one text come in ``SALTS`` pieces, so a class that holds many rows is the work of many tasks.
+    """
+    keys = _classes(df, id_col, text_col)
+    texts = keys.groupBy("fk", "tk").agg(F.lit(1).alias("__one"))
+    several = texts.groupBy("fk").agg(F.count("*").alias("texts")).where("texts > 1").select("fk")
     some = keys.join(several, "fk", "left_semi")
-    a, b = some.select("fk", F.col("id").alias(f"{id_col}_a"), F.col("tk").alias("ta")), some.select("fk", F.col("id").alias(f"{id_col}_b"), F.col("tk").alias("tb"))
-    return a.join(b, "fk").where((F.col("ta") != F.col("tb")) & (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))).select(f"{id_col}_a", f"{id_col}_b").distinct()
+    kinds = some.groupBy("fk", "tk").agg(F.lit(1).alias("__one")).select("fk", "tk")
+    of = lambda c: kinds.select("fk", F.col("tk").alias(c))
+    other = of("ta").join(of("tb"), "fk").where("ta < tb").select("ta", "tb")
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    first = some.select(F.col("tk").alias("ta"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("p"))
+    met = other.withColumn("p", pieces).join(first, ["ta", "p"]).select("tb", "x").withColumn("p", pieces)
+    second = some.select(F.col("tk").alias("tb"), F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("p"))
+    pairs = met.join(second, ["tb", "p"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()

@@ -85,8 +85,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that looks like another stored text, with its class and the number of its links."""
+    from millrace.llm.lookalike import same_look_classes
+
+    return same_look_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_operations, p4_found, p4_languages, p5_found, p5_repaired, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_operations, p4_found, p4_languages, p5_found, p5_repaired, p6_ids, p7_found, p8_found, p8_classes)}
 
 
 #: Every pair of vectors compared; the small tables allow it, and the approximate search finds the same pairs there.

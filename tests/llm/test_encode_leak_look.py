@@ -1,5 +1,6 @@
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,6 +139,30 @@ def test_lsh_recall():
     assert got <= want | got and len(want) > 50 and len(got & want) >= 0.98 * len(want)
 
 
+def test_stretches_find_what_whole_texts_hold():
+    """Passages anywhere in long documents and long items, by verification of bounded stretches only."""
+    its = items(6, 2500, seed=9)
+    index = K.Index(its)
+    rng = random.Random(10)
+    docs, want = [], set()
+    for k in range(120):
+        i = rng.randrange(6)
+        w = its[i][1].split()
+        n = rng.choice([14, 15, 18, 40, 70, 300])
+        a = rng.randrange(0, 2500 - n)
+        part = w[a : a + n]
+        for p in range(rng.randrange(7, 12), n, rng.randrange(8, 14)):
+            part[p] = "changed"
+        text = " ".join([f"f{rng.randrange(9000)}" for _ in range(rng.randrange(2000))] + part + ["post"] * rng.randrange(900))
+        docs.append((k, text))
+        if K.holds(np.array([index.vocabulary[x] for x in w[max(0, a - 40) : a + n + 40]]), np.array([index.vocabulary.get(x, 0) for x in part])):
+            want.add((k, i))
+    docs.append((500, its[0][1] + " " + its[1][1]))
+    got = set(K.scan(index, docs))
+    assert {(500, 0), (500, 1)} <= got and len(want) > 60
+    assert len(want & got) >= 0.98 * len(want) and not {p for p in got if p[0] < 500} - want
+
+
 PAIRS = [("café", "café"), ("ＡＢＣ １", "ABC 1"), ("a​b", "ab"), ("a b", "a b"), ("pаy", "pay"), ("ﬁsh", "fish"), ("ṩ", "ṩ"), ("5 ℃", "5 °C"), ("a\r\nb ", "a\nb"), ("ﻻ", "لا"), ("أ", "أ"), ("so­ft", "soft"), ("Å", "Å")]
 UNLIKE = [("m²", "m2"), ("A", "a"), ("cale", "calé"), ("c-d", "c d"), ("l", "1"), ("\U0001f469‍\U0001f373", "\U0001f469\U0001f373"), ("م‌م", "مم"), ("٢", "2")]
 
@@ -165,3 +190,7 @@ def test_pairs(spark):
     got = {(r[0], r[1]) for r in L.same_look_pairs(df).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(len(PAIRS))} | {(200, 202), (201, 202)}
     assert L.same_look_pairs(df.limit(0)).count() == 0
+    links = Counter(x for p in got for x in p)
+    classes = {r.doc_id: (r.class_id, r.links) for r in L.same_look_classes(df).collect()}
+    assert classes == {i: (200 if i >= 200 else i - i % 2, n) for i, n in links.items()}
+    assert L.same_look_classes(df.limit(0)).count() == 0
