@@ -4,14 +4,15 @@ Method, by defect:
 
 * ``copies_query``: the answer's words walk through a suffix automaton of the query; the words that lie
   in copied runs are the copied coverage. Nothing but the question: nearly all words are covered.
-* ``refusal``: an automaton of declining phrases, and one of courtesies and referrals, runs over each
-  sentence; an answer that declines in one sentence at least and says nothing else in any is a refusal,
-  unless ``has_sufficient_context`` is false.
+* ``refusal``: an automaton of word stems with roles runs over each sentence; roles that meet (somebody who speaks, a
+  negation, an act of answering or knowing; the matter and what lies outside; sources and what they fail to say) make it one
+  that declines, others a courtesy or a referral. An answer that declines in one sentence at least and says nothing else
+  in any is a refusal, unless ``has_sufficient_context`` is false.
 * ``truncated``: a delimiter stack finds brackets and quotations left open; an end without closing
   punctuation is whole only for short values, source lines, and list items. The last item of a list
-  without full stops is compared with how sentences of the whole table end: word runs that stand at
-  ends and in mid-sentence are counted over all rows into 64-bit hashes, and those with at
-  least ``RARE`` of all occurrences are kept, so the table that is broadcast is bounded by 1 / RARE rows.
+  without full stops, and a number before the last full stop, are compared with how sentences of the whole table end:
+  word runs at ends and in mid-sentence are counted over all rows into 64-bit hashes, and the answers that
+  ask for them meet the counts in an equi-join; nothing is broadcast.
 * ``other_language``: stopwords and letters vote for a language in each sentence; the answer's language
   is that of most characters.
 * ``empty``: nothing remains after invisible characters and marks go, or only a placeholder.
@@ -20,8 +21,8 @@ An answer has one defect at most; the order is empty, refusal, copies_query, oth
 
 Defined cases: a null answer is empty; a null or blank query has no words to copy and no language, so
 only the other defects can be found; rows repeated under one id count once; a null id is left out;
-``has_sufficient_context`` null counts as true. The work is per row except for the counts (one row a
-bucket and task) and one distinct by id after the rows are cut to those found.
+``has_sufficient_context`` null counts as true. The work is per row except for the counts, the join of the few
+answers that ask for them, and one aggregation by id after the rows are cut to those found.
 """
 
 from __future__ import annotations
@@ -29,20 +30,21 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.plans.runtime import checkpoint, spread
 
-#: Share of all counted runs below which a run is left out; 1 / RARE bounds what is kept and broadcast.
-RARE = 2e-6
-AT_END = 1 << 32
+#: Occurrences from which a word run tells something, and pieces of the answers that ask for one run.
+LEAST = 4
+PIECES = 16
 #: Longest word run whose ends are counted.
 END_WORDS = 4
 COPIED = 0.8
@@ -52,21 +54,69 @@ WELL = 0.15
 # Placeholders that stand for no answer.
 PLACEHOLDERS = {"", "na", "n a", "none", "null", "nil", "nan", "empty", "no answer", "no response", "blank", "tbd", "tba", "todo", "unknown", "undefined", "not available", "missing", "void", "xxx", "test", "sans objet", "aucune réponse", "néant", "vide", "sin respuesta", "ninguna", "vacío", "keine antwort", "keine angabe", "leer", "k a", "لا يوجد", "لا جواب", "فارغ", "no data", "no output", "placeholder", "answer", "answer here", "lorem ipsum", "s o", "pending", "error"}
 
-# Phrases by which a sentence declines to answer, words only.
-DECLINES = """
-i m sorry|i am sorry|sorry but|can t help|cannot help|unable to|not able to|lies outside|falls outside|outside my|outside what i|beyond my|no answer can be|can t answer|cannot answer|sources say nothing|won t guess|will not guess|not find anything|could not find|couldn t find|found nothing|nothing i could|nothing i can|must pass on|have to decline|must decline|i decline|enough information|not in a position|keep me from|keeps me from|not be right for me|not something i|do not let me|does not let me|leave the question open|leave this question open|rather not|nothing in the material|nothing in the sources|nothing in the documents|cannot say|can t say|cannot comment|cannot provide|can t provide|i do not know|i don t know|no information on|cannot give|can t give|say nothing about this|no comment on
-je ne peux pas|ne puis|pas en mesure|aucune réponse|dépasse mon|dépasse le cadre|m est impossible|impossible de répondre|impossible de vous|n ai rien trouvé|rien trouvé|ne me permettent pas|ne me permet pas|préfère ne pas|ne pas donner d avis|pas d informations|pas assez d|ne sais pas|hors de mon|hors de mes|ne souhaite pas|dois décliner|ne saurais|ne disent rien|ne dit rien|ne veux pas deviner|je regrette|désolé
-no puedo|no me es posible|no es posible dar|no es posible respon|resulta imposible|fuera de mi|no encontré|no he encontrado|nada útil|no estoy en condiciones|no me permiten|no me permite|prefiero no|no dispongo|no tengo información|no tengo suficiente|no hay información|no sé|debo declinar|no podría|no dicen nada|no dice nada|sin adivinar|lo siento
-kann ich nicht|ich kann nicht|liegt außerhalb|außerhalb meiner|nichts vor|nicht beantworten|nichts gefunden|nichts brauchbares|reichen nicht aus|reicht nicht aus|nicht äußern|nicht in der lage|keine antwort|keine informationen|keine auskunft|weiß ich nicht|ich weiß nicht|muss ich passen|nicht möglich|darf ich nicht|sagen nichts|nichts dazu|nicht raten|tut mir leid|lässt sich nicht sagen|nicht weiterhelfen|ablehnen
-لا أستطيع|لا يمكنني|لا توجد لدي|لا تتوفر لدي|ليس لدي|خارج عن|خارج نطاق|يتعذر|لم أجد|لا تسمح لي|لا أملك|أفضل عدم|لا أعرف|لا أعلم|آسف|أعتذر|معلومات كافية|لا تكفي|لا جواب|لا يسعني|لن أخمن|لا تذكر|لا تقول
-"""
-# Phrases of courtesies and referrals that say nothing on the matter.
+# Word beginnings by which a sentence shows who speaks, a negation, an act of answering or knowing, what
+# lies outside, the speaker's own field, a refusal in one word, sources, and what sources fail to do. A stem that ends
+# in a space is a whole word.
+FRAMES = {
+    "en": {
+        "sorry": " i m sorry | i am sorry | sorry but ", "who": " i | we | me | my | us | our | assistant ",
+        "no": " not | no | never | cannot | t | unable | nothing | neither | impossible | nor | keep me from | keeps me from | prevent| forbid| bar me ",
+        "say": " answer| help| say| tell | comment| provid| give | giving | advis| advice | know | assist| judge | share | respond| repl| discuss| guess| speak| offer| information | opinion| guidance | comply | find any| find the answer| find what| found any| anything useful ",
+        "out": " outside | beyond | exceed| out of scope | not within ", "own": " i | my | our | me ",
+        "refuse": " declin| refus| must pass | have to pass | refrain| abstain",
+        "source": " source| passage| document| material| text| extract| excerpt| context ",
+        "lack": " say| allow| let | enough | suffic| support| permit| cover| contain| mention| answer| address| tell ",
+        "refer": " please | kindly | contact | ask | asking | turn to | check with | speak to | talk to | consult ", "to": " manager | inspector| specialist| professional| expert| authorit| supervisor| person | team | officer | office | doctor | adviser | advisor | staff | colleague",
+    },
+    "fr": {
+        "sorry": " désolé| je regrette ", "who": " je | j | nous | m | me | moi | mon | ma | mes | notre ",
+        "no": " pas | rien | aucun| impossible | jamais | ni | incapable | point | empêch| interdi",
+        "say": " répon| dire | aider | renseign| conseil| avis | prononc| sais | savoir | donner | fourni| trouvé d| rien trouv| inform| parler | orient| éclair",
+        "out": " dépass| hors d| en dehors | au delà | excède ", "own": " mon | ma | mes | notre | nos | moi | me ",
+        "refuse": " décline| décliner | abstien| abstenir | refuse ",
+        "source": " extrait| document| source| texte| passage| élément",
+        "lack": " permet| suffi| disent | dit | contien| mention| parle| indiqu| répond",
+        "refer": " veuillez | merci de | adressez| consultez | demandez | demander | contactez | voyez avec ", "to": " spécialiste| personne | responsable| expert| inspect| autorité| service | professionnel| médecin | équipe | collègue",
+    },
+    "es": {
+        "sorry": " lo siento ", "who": " me | mi | mis | yo | puedo | podemos | podría | sé | tengo | dispongo | encontré | encontrado | estoy | prefiero | conozco | logro ",
+        "no": " no | nada | ning| sin | imposible | incapaz | tampoco | nunca | impide| impiden | prohíb",
+        "say": " respond| decir| ayudar| orient| opin| informa| aconsej| consej| saber | sé | útil | contest| asesor| coment| hablar | respuesta",
+        "out": " fuera de | más allá | excede | ajeno | ajena | rebasa ", "own": " mi | mis | me | nuestr",
+        "refuse": " declin| absten| rehús| rehus",
+        "source": " texto| documento| fuente| extracto| pasaje| material",
+        "lack": " permit| basta| dice| contien| mencion| indic| suficien| respond| aclar",
+        "refer": " consulte | pregunte | por favor | diríjase | acuda | contacte | hable con ", "to": " especialista| persona | responsable| experto | inspector| autoridad| servicio | profesional| médico | equipo | colega",
+    },
+    "de": {
+        "sorry": " tut mir leid ", "who": " ich | mir | mich | mein| wir | uns | unser",
+        "no": " nicht | kein| nichts | nie | unmöglich | außerstande | weder | hinder| untersag| verbiet",
+        "say": " sagen | beantwort| antwort| auskunft | äußer| helf| weiterhelf| wissen | weiß | rat | raten | berat| brauchbares | informat| stellung | angaben | beurteil| mitteil| empfehl| dazu vor | hierzu nichts vor | liegt mir ",
+        "out": " außerhalb | übersteig| jenseits ", "own": " mein| unser| mir ",
+        "refuse": " ablehn| lehne | passen | enthalte mich ",
+        "source": " auszüg| quelle| text| dokument| unterlage| material",
+        "lack": " reich| sagen | enthalt| genüg| erwähn| erlaub| ausreich| beantwort| hergeb| geben ",
+        "refer": " bitte | fragen | wenden | kontaktieren | sprechen ", "to": " fachkraft | person | verantwortlich| leitung | behörde| experte| fachmann | fachleute | amt | arzt | team | kolleg| stelle ",
+    },
+    "ar": {
+        "sorry": " آسف | أعتذر ", "who": " لي | لدي | أستطيع | يمكنني | أجد | أملك | أعرف | أعلم | يسعني | علي | عندي | أقدر | بوسعي | أنا | أفضل ",
+        "no": " لا | لم | لن | ليس| لست | غير | يتعذر | تعذر | عدم | أعجز | يستحيل | تمنع| يمنع",
+        "say": " الإجاب| إجاب| قول | إفاد| معلوم| الرأي | رأي | مساعد| الرد | أجيب | مفيد| أقول | جواب | الجواب | نصيح| التعليق | إبداء ",
+        "out": " خارج | يتجاوز | تتجاوز ", "own": " مهمتي | نطاقي | اختصاصي | صلاحيا| عملي | دوري | مجالي ",
+        "refuse": " أعتذر عن | أمتنع | أرفض ",
+        "source": " النصوص | المصادر | الوثائق | المقتطف| المستند| المراجع ",
+        "lack": " تسمح | تكفي | تذكر | تقول | تتضمن | تحتوي | كافي| تجيب ",
+        "refer": " يرجى | اسأل | راجع | استشر | تواصل | سؤال | الرجوع ", "to": " مختص| شخص | مدير | خبير | مفتش| السلطة | الجهة | المسؤول | طبيب | الفريق | مدرب ",
+    },
+}
+
+# Greetings, thanks, apologies and other words that say nothing on the matter.
 COURTESIES = """
-good question|thank you|thanks for|hello|hi there|apologies|sorry|unfortunately|regrettably|rephrase|try later|try again|kindly turn|try asking|please contact|contact your|please ask|please check with|check with the site|trained person|specialist|professional|qualified|to be honest|an expert|your local|happy to help with
-bonjour|merci de|merci pour|veuillez|essayez plus|adressez vous|personne formée|à vrai dire|malheureusement|spécialiste|désolée|bonne question|reformuler|consultez
-gracias|disculpe|inténtelo|intente|pregunte a una|persona formada|la verdad|consulte|especialista|lamentablemente|hola|buena pregunta|reformul
-danke|verzeihung|leider|ehrlich gesagt|versuchen sie|geschulte person|fachkraft|wenden sie|gute frage|guten tag|entschuldigung|fragen sie
-شكرا|عذرا|المعذرة|للأسف|في الحقيقة|حاول|يرجى|شخص مدرب|مختص|مرحبا|سؤال جيد|راجع
+good question|thank you|thanks for|hello|hi there|good morning|apologies|sorry|unfortunately|regrettably|rephrase|try later|try again|try asking|to be honest|happy to help
+bonjour|merci|malheureusement|à vrai dire|désolée|bonne question|reformul|essayez plus tard|réessayez
+gracias|disculpe|lamentablemente|hola|buena pregunta|reformul|inténtelo|intente|la verdad|por desgracia
+danke|verzeihung|leider|ehrlich gesagt|versuchen sie|gute frage|guten tag|entschuldigung
+شكرا|عذرا|المعذرة|للأسف|في الحقيقة|حاول|مرحبا|سؤال جيد
 """
 
 # Frequent function words by language.
@@ -79,6 +129,10 @@ STOPWORDS = {
 }
 _LETTERS = {"es": "ñ¿¡", "de": "ßäöü", "fr": "èêçœùûîïëâà"}
 
+#: Characters between a negation and what it negates.
+NEAR = 60
+STEP, _APART, _MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+_BESIDE = ".,;:!?؟،()[]«»\"'"
 _MARKS = re.compile(r"[^\w]+")
 _SENTENCE = re.compile(r"(?<=[.!?؟])\s+|\n+|(?<=[:;])\s+")
 _ITEM = re.compile(r"\s*(?:[-*•–·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
@@ -95,14 +149,21 @@ def bare(text: str) -> str:
 
 
 @functools.cache
-def _automaton(which: str):
-    """Aho-Corasick automaton of the declining phrases or of the courtesies."""
+def _automaton():
+    """Aho-Corasick automaton of all stems and courtesies, with their languages and roles."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for phrase in (DECLINES if which == "declines" else COURTESIES).replace("\n", "|").split("|"):
+    roles: dict[str, list[tuple[str, str]]] = {}
+    for lang, frame in FRAMES.items():
+        for role, stems in frame.items():
+            for stem in stems.split("|"):
+                roles.setdefault(stem, []).append((lang, role))
+    for phrase in COURTESIES.replace("\n", "|").split("|"):
         if phrase.strip():
-            a.add_word(phrase.strip(), phrase)
+            roles.setdefault(f" {phrase.strip()}", []).append(("", "polite"))
+    a = ahocorasick.Automaton()
+    for stem, found in roles.items():
+        a.add_word(stem, (len(stem), found))
     a.make_automaton()
     return a
 
@@ -124,17 +185,40 @@ def is_empty(answer: str | None) -> bool:
     return bare(visible) == "" and not any(unicodedata.category(c)[0] in "LN" for c in visible) or bare(answer) in PLACEHOLDERS
 
 
+def _speech(sentence: str) -> str | None:
+    """``declines`` or ``polite`` if a sentence (words only, a space at both ends) does nothing else.
+
+    It declines if one who speaks negates an act of answering or knowing, puts the matter outside the own field or
+    refuses in one word, or if sources fail to say; it is polite if it holds a courtesy or refers to somebody.
+    """
+    at: dict[tuple[str, str], list[int]] = {}
+    for end, (n, roles) in _automaton().iter(sentence):
+        for role in roles:
+            at.setdefault(role, []).append(end - n + 1)
+    if not at:
+        return None
+    near = lambda x, ys: any(abs(x - y) <= NEAR for y in ys)
+    for lang in FRAMES:
+        who, no, say, out, own, refuse, source, lack, sorry = (at.get((lang, r), ()) for r in ("who", "no", "say", "out", "own", "refuse", "source", "lack", "sorry"))
+        if sorry or out and own or who and refuse:
+            return "declines"
+        if who and any(near(x, say) and near(x, who) for x in no) or source and any(near(x, lack) for x in no):
+            return "declines"
+    if ("", "polite") in at or any((lang, "refer") in at and (lang, "to") in at for lang in FRAMES) and not any(map(str.isdigit, sentence)):
+        return "polite"
+    return None
+
+
 def is_refusal(answer: str) -> bool:
     declined = False
     for sentence in re.split(r"(?<=[.!?؟])\s+|\n+", answer.strip()):
-        s = bare(sentence)
-        if not s:
+        words = bare(sentence)
+        if not words:
             continue
-        s = f" {s} "
-        if next(_automaton("declines").iter(s), None):
-            declined = True
-        elif not next(_automaton("courtesies").iter(s), None):
+        kind = _speech(f" {words} ")
+        if kind is None:
             return False
+        declined |= kind == "declines"
     return declined
 
 
@@ -262,66 +346,98 @@ def _sentences(text: str) -> list[list[str]]:
     return [s.split() for s in re.split(r"(?<=[.!?؟])\s+|\n+", text)]
 
 
-def _runs(shapes: list[str], last: int) -> list[int]:
-    """Hashes of the word runs that end at one word, longest first."""
-    return [xxhash.xxh3_64_intdigest(" ".join(shapes[last - n + 1 : last + 1])) - (1 << 63) for n in range(END_WORDS, 0, -1) if last - n + 1 >= 0]
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    """64 bits of a word's shape."""
+    h = _hashes.get(word)
+    if h is None:
+        if len(_hashes) > 500_000:
+            _hashes.clear()
+        h = _hashes[word] = xxhash.xxh3_64_intdigest(_shape(word.strip(_BESIDE)))
+    return h
+
+
+def _runs(hashes: list[int]) -> list[int]:
+    """Hashes of the word runs that end at the last of these words, longest first."""
+    out, acc = [], 0
+    for n, h in enumerate(reversed(hashes[-END_WORDS:])):
+        acc = (acc + h * pow(STEP, n, 1 << 64)) & _MASK
+        run = (acc + n * _APART) & _MASK
+        out.append(run - (1 << 64) if run >> 63 else run)
+    return out[::-1]
+
+
+def end_counts(answers: Iterator[str], piece: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word runs (hashed) of closed sentences, and how often each ends a sentence and stands within one; in pieces of some words."""
+    codes: list[int] = []
+    sizes: list[int] = []
+
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w, n = np.array(codes, np.uint64), np.array(sizes)
+        last = np.zeros(len(w), bool)
+        last[np.cumsum(n) - 1] = True
+        place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+        acc, runs, ends = np.zeros(len(w), np.uint64), [], []
+        for k in range(END_WORDS):
+            shifted = np.concatenate((np.zeros(k, np.uint64), w[: len(w) - k]))
+            acc = acc + shifted * np.uint64(pow(STEP, k, 1 << 64))
+            runs.append((acc + np.uint64(k * _APART & _MASK))[place >= k])
+            ends.append(last[place >= k])
+        keys, inverse = np.unique(np.concatenate(runs).view(np.int64), return_inverse=True)
+        end = np.bincount(inverse, np.concatenate(ends), len(keys)).astype(np.int64)
+        return keys, end, np.bincount(inverse, minlength=len(keys)) - end
 
+    for text in answers:
+        for ws in _sentences(text):
+            if len(ws) >= 4 and ws[-1][-1] in ".!?؟":
+                codes += map(_hash, ws)
+                sizes.append(len(ws))
+        if len(codes) > piece:
+            yield counted()
+            codes.clear(), sizes.clear()
+    if codes:
+        yield counted()
 
-def _shapes(words: list[str]) -> list[str]:
-    return [_shape(w.strip(".,;:!?؟،()[]«»\"'")) for w in words]
 
+class Question(NamedTuple):
+    """What the counts of word runs must tell about an answer's end: ``runs`` longest first."""
 
-def end_counts(answers: Iterator[str]) -> Iterator[Counter]:
-    """Occurrences of each word run (hashed) in closed sentences: 1 within one, ``AT_END`` more at its end."""
-    seen: Counter = Counter()
-    for text in answers:
-        for ws in _sentences(text):
-            if len(ws) < 4 or ws[-1][-1] not in ".!?؟":
-                continue
-            shapes = _shapes(ws)
-            for i in range(len(shapes) - 1):
-                seen.update(_runs(shapes, i))
-            for r in _runs(shapes, len(shapes) - 1):
-                seen[r] += AT_END
-        if len(seen) > 300_000:
-            yield seen
-            seen = Counter()
-    yield seen
-
-
-class Ends:
-    """How often the frequent word runs end a sentence; the rare ones (below ``RARE`` of all) are left out, so it is bounded."""
-
-    def __init__(self, runs: np.ndarray, end: np.ndarray, mid: np.ndarray):
-        order = np.argsort(runs)
-        self.runs, self.end, self.mid = (np.asarray(x)[order] for x in (runs, end, mid))
-
-    def counts(self, run: int) -> tuple[int, int]:
-        i = int(np.searchsorted(self.runs, run))
-        return (int(self.end[i]), int(self.mid[i])) if i < len(self.runs) and self.runs[i] == run else (0, 0)
-
-    def share(self, words: list[str]) -> tuple[float, int]:
-        """Share of ends among the occurrences of the longest run known, and their number."""
-        shapes = _shapes(words[-END_WORDS:])
-        for run in _runs(shapes, len(shapes) - 1):
-            e, m = self.counts(run)
-            if e + m:
-                return e / (e + m), e + m
-        return 0.0, 0
-
-    def cut_number(self, words: list[str]) -> bool:
-        """Whether a closing whole number is one that was cut at its decimal sign: after the same words decimals
-        stand far more often, and within sentences. The longest context that was seen decides."""
-        shapes = _shapes(words[-END_WORDS:])
-        whole, decimal = _runs(shapes, len(shapes) - 1), _runs([*shapes[:-1], shapes[-1] + ".0"], len(shapes) - 1)
-        for a, b in zip(whole[:-1], decimal[:-1]):  # a number without a word before it tells nothing
-            (e, m), (f, n) = self.counts(a), self.counts(b)
-            if e + m + f + n >= 3:
-                return f + n > e + m and f < WELL * (f + n)
-        return False
+    about: str
+    runs: list[int]
+
+
+def answered(q: Question, counts: dict[int, tuple[int, int]]) -> bool:
+    """Whether the answer breaks off, by how often each run ends a sentence and stands within one (absent: not ``LEAST`` times).
 
+    The longest run known decides. A closing whole number was cut at its decimal sign if after the same words decimals
+    stand far more often, and within sentences.
+    """
+    if q.about == "end":
+        e, m = next((counts[r] for r in q.runs if r in counts), (0, 1))
+        return e < WELL * (e + m)
+    half = len(q.runs) // 2
+    for a, b in zip(q.runs[:half], q.runs[half:]):
+        (e, m), (f, n) = counts.get(a, (0, 0)), counts.get(b, (0, 0))
+        if e + m + f + n:
+            return f + n > e + m and f < WELL * (f + n)
+    return False
 
-def is_truncated(answer: str, ends: Ends) -> bool:
+
+def _at_end(words: list[str]) -> Question:
+    return Question("end", _runs([_hash(w) for w in words[-END_WORDS:]]))
+
+
+def _at_number(words: list[str]) -> Question:
+    before = [_hash(w) for w in words[-END_WORDS:-1]]
+    # a number without a word before it tells nothing
+    whole, decimal = (_runs([*before, xxhash.xxh3_64_intdigest(x)])[:-1] for x in (_shape(words[-1].strip(_BESIDE)), _shape(words[-1].strip(_BESIDE)) + ".0"))
+    return Question("number", whole + decimal)
+
+
+def is_truncated(answer: str) -> bool | Question:
+    """Whether an answer breaks off, or what the counts must tell for it."""
     text = answer.strip().strip("\u200b\ufeff\u2060")
     if _UNIT.match(text):
         return False
@@ -360,7 +476,7 @@ def is_truncated(answer: str, ends: Ends) -> bool:
     if last in ".!?؟。":
         words = core.split()
         if len(words) > 3 and re.fullmatch(r"[-+]?\d+[.]", words[-1]):
-            return ends.cut_number(words)
+            return _at_number(words)
         return False
     words = (lines[-1][item.end() :] if item else core).split()
     if not words:
@@ -370,14 +486,14 @@ def is_truncated(answer: str, ends: Ends) -> bool:
         others = [x.rstrip() for x in items[:-1]]
         if others and all(x[-1] in ".!?؟" for x in others):
             return True  # the other items have a full stop, this one has none
-        return ends.share(words)[0] < WELL
+        return _at_end(words)
     if body != text and len(lines) == 1:
-        return ends.share(words)[0] < WELL
+        return _at_end(words)
     return True
 
 
-def defect(answer: str | None, query: str | None, sufficient: bool | None, ends: Ends) -> str | None:
-    """The defect of one pair, or None."""
+def defect(answer: str | None, query: str | None, sufficient: bool | None) -> str | Question | None:
+    """The defect of one pair, None, or the question that tells whether it is ``truncated``."""
     if is_empty(answer):
         return "empty"
     if is_refusal(answer):
@@ -386,35 +502,44 @@ def defect(answer: str | None, query: str | None, sufficient: bool | None, ends:
         return "copies_query"
     if other_language(answer, query):
         return "other_language"
-    if is_truncated(answer, ends):
-        return "truncated"
-    return None
+    cut = is_truncated(answer)
+    return cut if isinstance(cut, Question) else "truncated" if cut else None
 
 
 def broken_pairs(df: DataFrame, id_col: str = "answer_id", answer: str = "answer", query: str = "query", context: str = "has_sufficient_context") -> DataFrame:
     """``(id_col, defect)``, one row per defective answer."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col), F.col(answer).cast("string").alias("__a"), F.col(query).cast("string").alias("__q"), F.col(context).cast("boolean").alias("__c")).where(F.col(id_col).isNotNull())
+    rows = df.select(F.col(id_col).alias("__id"), F.col(answer).cast("string").alias("__a"), F.col(query).cast("string").alias("__q"), F.col(context).cast("boolean").alias("__c")).where(F.col(id_col).isNotNull())
     rows = spread(rows)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for seen in end_counts(t for b in batches for t in b["__a"]):
-            yield pd.DataFrame({"r": np.fromiter(seen.keys(), np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
-
-    counts = rows.select("__a").where("__a is not null").mapInPandas(count, "r long, n long")
-    counts = counts.groupBy("r").agg(F.sum(F.shiftright("n", 32)).alias("e"), F.sum(F.col("n").bitwiseAND(AT_END - 1)).alias("m"))
-    counts = checkpoint(counts.where("e + m > 1"))
-    least = counts.agg(F.sum(F.col("e") + F.col("m"))).first()[0] or 0
-    got = counts.where(F.col("e") + F.col("m") >= RARE * least).toPandas()  # 1 / RARE rows at most
-    sent = spark.sparkContext.broadcast(Ends(got["r"].to_numpy(np.int64), got["e"].to_numpy(np.int64), got["m"].to_numpy(np.int64)))
+    key = T.StructField("__id", df.schema[id_col].dataType)
+    runs = T.StructField("runs", T.ArrayType(T.LongType()))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             columns = (b[c].astype(object).where(b[c].notna(), None) for c in ("__a", "__q", "__c"))
-            found = [defect(a, q, c, sent.value) for a, q, c in zip(*columns)]
-            yield pd.DataFrame({id_col: b[id_col], "defect": pd.Series(found, index=b.index, dtype=object)})[[x is not None for x in found]]
+            got = [defect(a, q, c) for a, q, c in zip(*columns)]
+            found = [x.about if isinstance(x, Question) else x for x in got]
+            asked = [x.runs if isinstance(x, Question) else None for x in got]
+            yield pd.DataFrame({"__id": b["__id"], "defect": pd.Series(found, index=b.index, dtype=object), "runs": pd.Series(asked, index=b.index, dtype=object)})[[x is not None for x in got]]
 
-    from pyspark.sql import types as T
+    judged = checkpoint(rows.mapInPandas(judge, T.StructType([key, T.StructField("defect", T.StringType()), runs])))
+    sure = judged.where("runs is null").select("__id", "defect")
+    asked = judged.where("runs is not null").distinct()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, e, m in end_counts(t for b in batches for t in b["__a"]):
+            yield pd.DataFrame({"r": r, "e": e, "m": m})
+
+    counts = rows.select("__a").where("__a is not null").mapInPandas(count, "r long, e long, m long")
+    counts = counts.groupBy("r").agg(F.sum("e").alias("e"), F.sum("m").alias("m")).where(F.col("e") + F.col("m") >= LEAST)
+    # a run that many answers ask for is joined in pieces
+    one = asked.select("__id", "defect", "runs", F.explode("runs").alias("r")).withColumn("piece", F.pmod(F.xxhash64("__id"), F.lit(PIECES)).cast("int"))
+    wanted = counts.join(one.select("r").distinct(), "r", "left_semi").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    told = one.join(wanted, ["r", "piece"], "left").groupBy("__id", "defect", "runs").agg(F.collect_list(F.struct("r", "e", "m")).alias("counts"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cut = [answered(Question(about, list(runs)), {c["r"]: (c["e"], c["m"]) for c in counts if c["e"] is not None}) for about, runs, counts in zip(b["defect"], b["runs"], b["counts"])]
+            yield pd.DataFrame({"__id": b["__id"][cut], "defect": pd.Series("truncated", index=b.index[cut], dtype=object)})
 
-    schema = T.StructType([df.schema[id_col], T.StructField("defect", T.StringType())])
-    return rows.mapInPandas(judge, schema).groupBy(id_col).agg(F.min("defect").alias("defect"))
+    cut = told.mapInPandas(decide, T.StructType([key, T.StructField("defect", T.StringType())]))
+    return sure.unionByName(cut).groupBy(F.col("__id").alias(id_col)).agg(F.min("defect").alias("defect"))
