@@ -25,10 +25,14 @@ def citation(name: Column, page: Column, section: Column) -> Column:
     return F.concat_ws(" | ", name, F.when(_given(page), F.concat(F.lit("p. "), page)), F.when(_given(section), section))
 
 
+# Fixed value: the card's four lines.
+CARD = "Citation Format:\n- Document: %s\n- Page: %s\n- Section: %s\n- Reference ID: %s"
+
+
 def citation_card(name: Column, page: Column, section: Column, chunk_id: Column) -> Column:
     """The four-line form; what is missing reads N/A."""
     or_na = lambda c: F.when(_given(c), c.cast("string")).otherwise("N/A")
-    return F.format_string("Citation Format:\n- Document: %s\n- Page: %s\n- Section: %s\n- Reference ID: %s", name, or_na(page), or_na(section), chunk_id)
+    return F.format_string(CARD, name, or_na(page), or_na(section), chunk_id)
 
 
 def citation_list(citations: Column) -> Column:

@@ -138,3 +138,45 @@ def iso(c: Column) -> Column:
     """ISO 8601; the fraction is left out when it is zero."""
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def blank(c: Column) -> Column:
+    """Null, empty or white space only."""
+    return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
+
+
+# What is wrong with a record that cannot be made.
+def chunk_error(text: Column) -> Column:
+    return F.when(blank(text), "Chunk text cannot be empty")
+
+
+def document_error(text: Column) -> Column:
+    return F.when(blank(text), "Document text content cannot be empty")
+
+
+def request_error(query: Column) -> Column:
+    return F.when(blank(query), "Query cannot be empty").when(F.length(strip(query)) < MIN_QUERY, "Query must be at least 3 characters")
+
+
+def hundredths(c: Column) -> Column:
+    """A number with two decimals as its exact binary value rounds (0.145 lies below the half and gives 0.14; ties go to the even digit)."""
+    x = F.abs(c.cast("double"))
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)  # the upper half of the digits, so that the products are exact
+    p = x * F.lit(100.0)
+    error = high * F.lit(100.0) - p + (x - high) * F.lit(100.0)
+    whole = F.floor(p)
+    rest = p - whole
+    up = (rest > 0.5) | (rest == 0.5) & ((error > 0) | (error == 0) & (whole % 2 == 1))
+    n = whole + F.when(up, 1).otherwise(0)
+    shown = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(F.isnan(c) | (x == float("inf")) | (x >= 1e13), F.format_string("%.2f", c.cast("double"))).otherwise(shown)
+
+
+def metric_text(operation: Column, duration_ms: Column) -> Column:
+    """A metric in words: name and milliseconds with two decimals."""
+    return F.concat(F.coalesce(operation, F.lit("None")), F.lit(": "), hundredths(duration_ms), F.lit("ms"))
+
+
+def file_size_mb(size: Column) -> Column:
+    """Megabytes (2^20) of a size in bytes."""
+    return size / F.lit(1 << 20)

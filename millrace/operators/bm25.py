@@ -1,8 +1,10 @@
 """BM25 over an inverted index held in DataFrames.
 
-The index is four tables: ``postings(term, pos, tf)``, ``lengths(pos, dl)``, ``terms(term, df, idf)`` and the
-one-row ``corpus(n, avgdl, avg_idf)``. A query is answered by an equi-join of its terms with the postings, so the
-cost is that of the postings of its terms, and the scores are summed before the shuffle. Scores are summed as
+The index is four tables: ``postings(term, pos, dl, tf)``, ``lengths(pos, dl)``, ``terms(term, df, idf)`` and the
+one-row ``corpus(n, avgdl, avg_idf)``. The postings are range-partitioned and sorted by term and position, and carry the
+documents' lengths. The words of a query are pushed down to their scan, which skips the row groups without
+them, and meet them in a broadcast join (more than ``SENT_WORDS`` in a shuffled one), so the postings of other words
+are neither read nor shuffled, and those of a stopword lie in many partitions. Partial scores are summed before the shuffle, as
 whole numbers of 1e-9, which makes ties and ranks independent of the order of addition.
 """
 
@@ -21,14 +23,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.text import tokenize
-from millrace.operators.topk import ROWS, StreamTopK
+from millrace.operators.topk import ROWS, StreamTopK, few_tasks
 from millrace.plans.errors import BM25RetrievalError
 from millrace.plans.runtime import checkpoint, spread
+from millrace.sources.store import current, save
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCALE = 10**9
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 50_000
+#: Rows (query and word) that are broadcast, and different words that are pushed down, at most.
+SENT_WORDS, PUSHED_WORDS = 200_000, 1_000
 
 
 @dataclasses.dataclass
@@ -40,11 +45,11 @@ class BM25Index:
 
     def save(self, path: str) -> None:
         for f in dataclasses.fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            save(getattr(self, f.name), f"{path}/{f.name}")
 
     @staticmethod
     def load(spark, path: str) -> BM25Index:
-        return BM25Index(*(spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(BM25Index)))
+        return BM25Index(*(spark.read.parquet(current(spark, f"{path}/{f.name}")) for f in dataclasses.fields(BM25Index)))
 
 
 def build(docs: DataFrame, pos: str, text: str, keep: bool = True, statistics_only: bool = False) -> BM25Index:
@@ -55,9 +60,9 @@ def build(docs: DataFrame, pos: str, text: str, keep: bool = True, statistics_on
     """
     words = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
     lengths = words.select("pos", F.size("words").alias("dl"))
-    postings = words.select("pos", F.explode("words").alias("term")).groupBy("term", "pos").agg(F.count("*").alias("tf"))
+    postings = words.select("pos", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
     if keep and not statistics_only:
-        postings, lengths = checkpoint(postings), checkpoint(lengths)
+        postings, lengths = checkpoint(postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos")), checkpoint(lengths)
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
     else:  # one row per document and word, counted before the shuffle
         df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -75,11 +80,18 @@ def build(docs: DataFrame, pos: str, text: str, keep: bool = True, statistics_on
 def scores(index: BM25Index, queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """``(query_id, pos, score)`` of all documents that share a word with the query; repeated words count again."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(index.terms.select("term", "idf"), "term")
+    distinct = asked.select("term").distinct()
+    some = [r["term"] for r in distinct.limit(PUSHED_WORDS + 1).collect()]
+    few = len(some) <= PUSHED_WORDS
+    terms = index.terms.select("term", "idf")
+    weighed = asked.join(terms.where(F.col("term").isin(some)) if few else terms, "term")
+    if asked.limit(SENT_WORDS + 1).count() <= SENT_WORDS:
+        weighed = F.broadcast(weighed)
     avgdl = F.broadcast(index.corpus.select("avgdl"))
-    hits = index.postings.join(index.lengths, "pos").crossJoin(avgdl).select("term", "pos", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    postings = index.postings.where(F.col("term").isin(some)) if few else index.postings
+    hits = postings.crossJoin(avgdl).select("term", "pos", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
     part = F.round(F.col("qtf") * F.col("idf") * F.col("w") * SCALE).cast("long")
-    return weighed.join(hits, "term").groupBy("query_id", "pos").agg(F.sum(part).alias("s")).select("query_id", "pos", (F.col("s") / SCALE).alias("score"))
+    return hits.join(weighed, "term").groupBy("query_id", "pos").agg(F.sum(part).alias("s")).select("query_id", "pos", (F.col("s") / SCALE).alias("score"))
 
 
 def topk(index: BM25Index, queries: DataFrame, query_id: str = "query_id", text: str = "query", k: int = 50) -> DataFrame:
@@ -113,11 +125,17 @@ def topk_scan(index: BM25Index, docs: DataFrame, queries: DataFrame, pos: str, t
     wanted = asked.select(F.explode("w").alias("term")).distinct()
     idf = {r["term"]: r["idf"] for r in index.terms.join(wanted, "term", "left_semi").toLocalIterator()}  # words of the queries
     avgdl = index.corpus.first()["avgdl"] or 1.0
-    blocks: list[list] = [[]]
-    for r in asked.toLocalIterator():
-        if len(blocks[-1]) == QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append((r["q"], r["w"]))
+
+    def blocks() -> Iterator[list]:
+        """The queries, fetched row by row; only one block is held."""
+        held: list = []
+        for r in asked.toLocalIterator():
+            held.append((r["q"], r["w"]))
+            if len(held) == QUERY_BLOCK:
+                yield held
+                held = []
+        yield held
+
     kinds = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("pos", docs.schema[pos].dataType), T.StructField("score", T.DoubleType())])
     rows = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
 
@@ -143,9 +161,9 @@ def topk_scan(index: BM25Index, docs: DataFrame, queries: DataFrame, pos: str, t
                     _score_block(best, np.array(part.column(0).to_pylist()), part.column(1).to_pylist(), term_of, by_term, avgdl)
             yield from best.rows(ids, kinds, SCALE)
 
-        return rows.mapInArrow(run, kinds)
+        return few_tasks(rows).mapInArrow(run, kinds)
 
-    found = reduce(DataFrame.unionByName, map(one, blocks))
+    found = reduce(DataFrame.unionByName, map(one, blocks()))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.operators.topk import ROWS, StreamTopK
+from millrace.operators.topk import ROWS, StreamTopK, few_tasks
 from millrace.plans.errors import DenseRetrievalError, VectorStoreError
 
 BLOCK_ROWS = 50_000
@@ -34,11 +34,17 @@ def search(vectors: DataFrame, queries: DataFrame, pos: str, vector: str, query_
         raise DenseRetrievalError("k must not be negative")
     spark = vectors.sparkSession
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<float>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
-    blocks: list[list] = [[]]
-    for r in asked.toLocalIterator():
-        if len(blocks[-1]) == BLOCK_ROWS:
-            blocks.append([])
-        blocks[-1].append((r["q"], np.asarray(r["v"], np.float64)))
+
+    def blocks() -> Iterator[list]:
+        """The queries, fetched row by row; only one block is held."""
+        held: list = []
+        for r in asked.toLocalIterator():
+            held.append((r["q"], np.asarray(r["v"], np.float64)))
+            if len(held) == BLOCK_ROWS:
+                yield held
+                held = []
+        yield held
+
     rows = vectors.select(F.col(pos).alias("pos"), F.col(vector).cast("array<float>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
     kinds = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("pos", vectors.schema[pos].dataType), T.StructField("score", T.DoubleType())])
 
@@ -57,9 +63,9 @@ def search(vectors: DataFrame, queries: DataFrame, pos: str, vector: str, query_
                     best.add(lambda i, j, x=x: np.rint(matrix[i:j] @ x * 10.0**DIGITS).astype(np.int64), np.array(part.column(0).to_pylist()))
             yield from best.rows(ids, kinds, 10.0**DIGITS)
 
-        return rows.mapInArrow(run, kinds)
+        return few_tasks(rows).mapInArrow(run, kinds)
 
-    found = reduce(DataFrame.unionByName, map(one, blocks))
+    found = reduce(DataFrame.unionByName, map(one, blocks()))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked if threshold is None else ranked.where(F.col("score") >= threshold)
@@ -96,6 +102,14 @@ def search_store(store: DataFrame, queries: DataFrame, k: int = 10, threshold: f
     return ranked.join(store.where("deleted").select("pos"), "pos", "left_anti").select("query_id", "pos", "score", "rank")
 
 
-def store_stats(store: DataFrame) -> DataFrame:
-    """One row: vectors with the deleted ones, live chunks, and the size of the vectors."""
-    return store.agg(F.count("*").alias("total_vectors"), F.count_distinct(F.when(~F.col("deleted"), F.col("chunk_id"))).alias("unique_chunks"), F.max(F.size("vec")).alias("dimension"))
+def attach_metadata(entries: DataFrame, added: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The metadata entries ``(chunk_id, ...)`` with those of ``metadata`` whose chunk is among ``added``; they replace older ones."""
+    fresh = metadata.join(added.select("chunk_id").distinct(), "chunk_id", "left_semi").select(*entries.columns)
+    return entries.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
+
+
+def store_stats(store: DataFrame, entries: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """One row: vectors with the deleted ones, live chunks, the size of the vectors, metadata entries and the store's path."""
+    counted = store.agg(F.count("*").alias("total_vectors"), F.count_distinct(F.when(~F.col("deleted"), F.col("chunk_id"))).alias("unique_chunks"), F.max(F.size("vec")).alias("dimension"))
+    named = (entries.agg(F.count("*").alias("metadata_entries")) if entries is not None else store.sparkSession.range(1).select(F.lit(0).cast("long").alias("metadata_entries")))
+    return counted.crossJoin(F.broadcast(named)).withColumn("index_path", F.lit(path).cast("string"))

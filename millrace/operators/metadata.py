@@ -51,12 +51,40 @@ def citation_fields(df: DataFrame) -> DataFrame:
     return df.select("document_name", "page", "section", "subsection", "chunk_id", "title")
 
 
+def iso_record(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns of a record, times as ISO texts, all else as it stands."""
+    from millrace.functions.text import iso
+
+    kinds = dict(df.dtypes)
+    return [iso(F.col(c)).alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in columns]
+
+
+# Fields of the records as they leave the engine, in order.
+RECORDS = {
+    "chunk": ("document_id", "document_name", "chunk_id", "page", "chapter", "section", "subsection", "title", "chunk_index", "total_chunks", "source_type", "language", "ocr_used", "ocr_confidence", "table_id", "figure_id", "related_chunks", "parent_chunk_id", "token_count", "character_count", "embedding_model", "embedding_version", "ingestion_timestamp", "last_updated", "custom_metadata"),
+    "document": ("document_id", "document_name", "file_path", "file_size_mb", "page_count", "language", "ingestion_timestamp", "chunk_count", "total_tokens", "source_type", "encoding", "custom_metadata"),
+    "answer": ("answer", "citations", "query", "query_id", "answer_id", "timestamp", "retrieval_latency_ms", "generation_latency_ms", "total_latency_ms", "context_chunks_count", "context_tokens_count", "confidence_score", "has_sufficient_context"),
+    "query": ("query", "query_id", "timestamp", "user_id", "session_id", "metadata"),
+    "metric": ("operation_name", "duration_ms", "timestamp", "metadata"),
+}
+
+
+def records(df: DataFrame, kind: str) -> DataFrame:
+    """The fields of a record of one ``kind``, times as ISO texts; fields that the table lacks are left out."""
+    return df.select(*iso_record(df, [c for c in RECORDS[kind] if c in df.columns]))
+
+
 def record_json(df: DataFrame) -> DataFrame:
     """Every record as JSON with ISO times; nulls are kept."""
-    from millrace.functions.text import iso
+    return df.select(F.to_json(F.struct(*iso_record(df, df.columns)), {"ignoreNullFields": "false"}).alias("record"))
+
 
-    columns = [iso(F.col(c)).alias(c) if kind.startswith("timestamp") else F.col(c) for c, kind in df.dtypes]
-    return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record"))
+def mark_indexed(df: DataFrame, ids: DataFrame, key: str = "document_id", flag: str = "is_indexed") -> DataFrame:
+    """``df`` with the flag set for the given ids; other rows keep theirs (false where they have none)."""
+    marked = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__marked", F.lit(True))
+    before = F.col(flag) if flag in df.columns else F.lit(False)
+    joined = df.join(marked, key, "left")
+    return joined.withColumn(flag, F.coalesce("__marked", before, F.lit(False))).drop("__marked")
 
 
 def dedup_by_content(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -34,6 +34,18 @@ def model_scorer(score: Callable[[pd.Series, pd.Series], pd.Series], load: Calla
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
 
 
+def from_lists(rows: DataFrame, query_id: str = "query_id", query: str = "query", documents: str = "documents", ids: str = "doc_ids") -> DataFrame:
+    """Candidates for :func:`rerank` out of one row a query with parallel lists.
+
+    Without ids (null) documents are named by their place, from 0; of unlike lists the shortest counts.
+    """
+    n = F.size(documents)
+    named = F.coalesce(F.col(ids), F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("string")))
+    pairs = F.slice(F.arrays_zip(named.alias("pos"), F.col(documents).alias("document")), 1, F.least(n, F.size(named)))
+    listed = rows.where(n > 0).select(F.col(query_id).alias("query_id"), F.col(query).alias("query"), F.posexplode(pairs).alias("rank", "p"))
+    return listed.select("query_id", "query", "rank", F.col("p.pos").alias("pos"), F.col("p.document").alias("document"))
+
+
 def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_scorer, top_k: int | None = None, query: str = "query", document: str = "document", order: str = "rank") -> DataFrame:
     """``candidates(query_id, pos, query, document, rank)`` as ``(query_id, pos, score, rank)`` by the scorer.
 

@@ -10,10 +10,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Queries and rows of one block of scores.
+#: Queries and rows of one block of scores, and tasks of a scan for each core.
 QUERIES, ROWS = 1_000, 2_048
+TASKS_PER_CORE = 4
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows`` in few, long tasks: each gives its best k of every query, so what is shuffled is bounded by the
+    cores and not by the number of the files' pieces."""
+    return rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 class StreamTopK:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,9 +168,24 @@ def dense_with_tombstones(spark, d):
     return shown(dense.search_store(store, asked), "before").unionByName(shown(dense.search_store(store, asked, compat_post_filter=True), "after"))
 
 
-@register("SELECT count(*) AS total_vectors, count(DISTINCT CASE WHEN label % 5 <> 0 THEN vec_id END) AS unique_chunks, max(len(embedding)) AS dimension FROM embeddings")
+@register("SELECT count(*) AS total_vectors, count(DISTINCT CASE WHEN label % 5 <> 0 THEN vec_id END) AS unique_chunks, max(len(embedding)) AS dimension, count(CASE WHEN label % 3 = 0 THEN 1 END) AS metadata_entries, 'index/chunks' AS index_path FROM embeddings")
 def index_stats(spark, d):
-    return dense.store_stats(_store(spark, d)).select("total_vectors", "unique_chunks", F.col("dimension").cast("long").alias("dimension"))
+    """Statistics of a store in which every third vector came with metadata."""
+    store = _store(spark, d)
+    entries = spark.createDataFrame([], "chunk_id string, label int")
+    given = table(spark, d, "embeddings").where("label % 3 = 0").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("label").cast("int").alias("label"))
+    return dense.store_stats(store, dense.attach_metadata(entries, store, given), "index/chunks").withColumn("dimension", F.col("dimension").cast("long"))
+
+
+@register(f"""WITH {_VECTORS}, gone AS (SELECT max(vec_id) AS pos FROM embeddings WHERE label % 7 = 0 GROUP BY vec_id // 2), {_NEAR}
+SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM near WHERE pos NOT IN (SELECT pos FROM gone) QUALIFY rank <= 10""")
+def dense_after_delete(spark, d):
+    """Chunks of two vectors each; of every chunk with a vector of some label the newest such vector is deleted, then searched."""
+    vectors = table(spark, d, "embeddings")
+    chunk = F.concat(F.lit("c"), F.floor(F.col("vec_id") / 2).cast("string"), F.when(F.col("label") % 7 == 0, "x").otherwise("y")).alias("chunk_id")
+    store = vectors.select(chunk, F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), F.lit(False).alias("deleted"))
+    left = dense.delete_chunks(store, store.where(F.col("chunk_id").endswith("x")))
+    return dense.search_store(left, _query_vectors(spark, d)).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register("""WITH base AS (SELECT count(*) AS n FROM embeddings WHERE len(embedding) = 64)
@@ -234,6 +250,23 @@ def rerank_topk(spark, d):
     return rerank.rerank(pairs, top_k=6).select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_WORDS = lambda c: f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9{W}]', '', 'g'), '[{W}]+'), lambda x: x <> '')"
+
+
+@register(f"""WITH a AS (SELECT answer_id, any_value(query) AS query, any_value(citations) AS c, any_value(context_chunks_count) AS n FROM answers WHERE answer_id IS NOT NULL GROUP BY answer_id),
+l AS (SELECT answer_id AS query_id, query, list_transform(c, lambda x: x.title) AS docs, CASE WHEN n % 2 = 0 THEN list_transform(c[1:2], lambda x: x.chunk_id) END AS ids FROM a WHERE len(c) > 0),
+p AS (SELECT query_id, query, unnest(range(CASE WHEN ids IS NULL THEN len(docs) ELSE least(len(docs), len(ids)) END)) AS i, docs, ids FROM l),
+s AS (SELECT query_id, i, coalesce(ids[i + 1], CAST(i AS VARCHAR)) AS pos, list_distinct({_WORDS('query')}) AS q, {_WORDS('docs[i + 1]')} AS w FROM p),
+r AS (SELECT query_id, i, pos, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0.0 END AS score FROM s)
+SELECT query_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i) AS rank FROM r""")
+def rerank_lists(spark, d):
+    """The titles of each answer's sources against its query, with the ids of the first two where their number is even, else by place."""
+    rows = _answers(spark, d, ["query", "citations", "context_chunks_count"])
+    ids = F.when(F.col("context_chunks_count") % 2 == 0, F.transform(F.slice("citations", 1, 2), lambda x: x["chunk_id"]))
+    lists = rows.select(F.col("answer_id").alias("query_id"), "query", F.transform("citations", lambda x: x["title"]).alias("documents"), ids.alias("doc_ids"))
+    return rerank.rerank(rerank.from_lists(lists)).select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---- query processing
 
 _S = lambda c: f"regexp_replace({c}, '^[{W}]+|[{W}]+$', '', 'g')"
@@ -353,6 +386,53 @@ def citation_fields(spark, d):
     return metadata.citation_fields(_chunks(spark, d, ["document_name", "page", "section", "subsection", "title"]))
 
 
+_ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END"
+
+
+@register(f"SELECT document_id, document_name, file_path, file_size_mb, page_count, language, {_ISO('ingestion_timestamp')} AS ingestion_timestamp, chunk_count, total_tokens, source_type, encoding, custom_metadata FROM document_metadata")
+def document_record(spark, d):
+    return metadata.records(table(spark, d, "document_metadata"), "document")
+
+
+@register(f"SELECT chunk_id, document_id, page, chunk_index, total_chunks, len(related_chunks) AS related, token_count, {_ISO('ingestion_timestamp')} AS ingestion_timestamp, {_ISO('last_updated')} AS last_updated, custom_metadata FROM chunks")
+def chunk_record(spark, d):
+    r = metadata.records(table(spark, d, "chunks"), "chunk")
+    related = F.when(F.col("related_chunks").isNotNull(), F.size("related_chunks").cast("long"))
+    return r.select("chunk_id", "document_id", "page", "chunk_index", "total_chunks", related.alias("related"), "token_count", "ingestion_timestamp", "last_updated", "custom_metadata")
+
+
+@register(f"SELECT answer_id, answer, query, query_id, len(citations) AS cited, {_ISO('timestamp')} AS timestamp, retrieval_latency_ms, generation_latency_ms, total_latency_ms, context_chunks_count, context_tokens_count, confidence_score, has_sufficient_context FROM answers")
+def answer_record(spark, d):
+    r = metadata.records(table(spark, d, "answers"), "answer")
+    return r.withColumn("cited", F.when(F.col("citations").isNotNull(), F.size("citations").cast("long"))).drop("citations")
+
+
+@register(f"SELECT query, query_id, {_ISO('timestamp')} AS timestamp, user_id, session_id, metadata FROM queries")
+def query_record(spark, d):
+    return metadata.records(table(spark, d, "queries"), "query")
+
+
+@register(f"SELECT metric_id, operation_name, duration_ms, {_ISO('timestamp')} AS timestamp FROM latency_metrics")
+def metric_record(spark, d):
+    log = table(spark, d, "latency_metrics")
+    return log.select("metric_id", *metadata.iso_record(log, ["operation_name", "duration_ms", "timestamp"]))
+
+
+@register("""SELECT d.document_id, max(d.chunk_count) AS chunk_count, CAST(max(CASE WHEN c.document_id IS NOT NULL THEN 1 ELSE 0 END) AS BOOLEAN) AS is_indexed
+FROM document_metadata d LEFT JOIN (SELECT DISTINCT document_id FROM chunks WHERE len(embedding) = 64) c ON c.document_id = d.document_id WHERE d.document_id IS NOT NULL GROUP BY d.document_id""")
+def mark_indexed(spark, d):
+    """Documents with a vector of the right size are marked."""
+    docs = table(spark, d, "document_metadata").where("document_id is not null").groupBy("document_id").agg(F.max("chunk_count").alias("chunk_count"))
+    return metadata.mark_indexed(docs, table(spark, d, "chunks").where(F.size("embedding") == 64).select("document_id"))
+
+
+@register(f"WITH {_CHUNKS}, gone AS (SELECT DISTINCT unnest(citations).chunk_id AS chunk_id FROM answers) SELECT chunk_id, document_id FROM latest WHERE chunk_id NOT IN (SELECT chunk_id FROM gone WHERE chunk_id IS NOT NULL)")
+def metadata_delete_chunks(spark, d):
+    """The chunks without those that an answer cites."""
+    cited = table(spark, d, "answers").select(F.explode("citations").alias("c")).select("c.chunk_id")
+    return metadata.delete(_chunks(spark, d, ["document_id"]), cited, "chunk_id")
+
+
 @register()
 def record_json(spark, d):
     return metadata.record_json(table(spark, d, "document_metadata"))
@@ -392,10 +472,29 @@ def batch_list(spark, d):
     return _chunks(spark, d, ["related_chunks"]).where(F.size("related_chunks") > 0).select("chunk_id", F.size(cut).cast("long").alias("batches"), F.array_join(cut[0], ",").alias("first_batch"))
 
 
-@register("SELECT document_id, round(file_size_mb * 1048576 / 1048576, 6) AS mb, page_count FROM document_metadata WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ingestion_timestamp DESC) = 1")
+@register("SELECT doc_id, strlen(text) AS bytes, strlen(text) / 1048576.0 AS mb FROM documents")
 def file_sizes(spark, d):
-    docs = metadata.upsert(table(spark, d, "document_metadata").where("document_id is not null"), "document_id", "ingestion_timestamp", ["file_size_mb", "page_count"])
-    return docs.select("document_id", F.round(F.col("file_size_mb") * 1048576 / 1048576, 6).alias("mb"), "page_count")
+    """Sizes of the texts as files: bytes of UTF-8, and megabytes."""
+    size = F.octet_length("text").cast("long")
+    return table(spark, d, "documents").select("doc_id", size.alias("bytes"), X.file_size_mb(size).alias("mb"))
+
+
+@register(f"""WITH {_Q} SELECT 'query' AS kind, query_id AS id, CASE WHEN length({_S("coalesce(query, '')")}) = 0 THEN 'Query cannot be empty' WHEN length({_S('query')}) < 3 THEN 'Query must be at least 3 characters' END AS error FROM q
+UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), CASE WHEN length({_S("coalesce(text, '')")}) = 0 THEN 'Document text content cannot be empty' END FROM documents
+UNION ALL SELECT 'chunk', chunk_id, CASE WHEN length({_S("coalesce(text, '')")}) = 0 THEN 'Chunk text cannot be empty' END FROM (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)""")
+def record_checks(spark, d):
+    """What keeps a query, a document or a chunk from being made; null if nothing does."""
+    rows = [("query", _asked(spark, d).select(F.col("query_id").alias("id"), X.request_error(F.col("query")).alias("error"))),
+            ("document", table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), X.document_error(F.col("text")).alias("error"))),
+            ("chunk", _chunks(spark, d, ["text"]).select(F.col("chunk_id").alias("id"), X.chunk_error(F.col("text")).alias("error")))]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "id", "error") for kind, df in rows])
+
+
+@register("SELECT doc_id, 'doc_' || substring(sha256(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(source, '')), 1, 12) AS stable FROM documents WHERE source IS NOT NULL")
+def stable_ids(spark, d):
+    """Ids that depend on a row's keys only, so that they are the same after a lost task is run again."""
+    docs = table(spark, d, "documents").where("source is not null")
+    return docs.select("doc_id", X.stable_id("doc_", F.col("doc_id").cast("string"), F.col("source")).alias("stable"))
 
 
 @register(f"""WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS doc, list_filter(regexp_split_to_array(coalesce(text, ''), '[{W}]+'), lambda x: x <> '') AS w FROM documents),
@@ -511,3 +610,44 @@ z AS (SELECT count(*) AS size FROM s WHERE s.s.op = 'set' AND NOT coalesce(g > s
 SELECT sum(hit::BIGINT)::BIGINT AS hits, count(*) - sum(hit::BIGINT)::BIGINT AS misses, count(*) AS total, round(100.0 * sum(hit::BIGINT) / count(*), 6) AS hit_rate_percent, any_value(size) AS size FROM gets, z""")
 def cache_stats(spark, d):
     return cache.stats(_ops(spark, d), CACHE_TTL)
+
+
+@register(f"WITH {_LOG} SELECT metric_id, duration_ms, 'dense_retrieval' || ': ' || printf('%.2f', duration_ms) || 'ms' AS shown FROM log WHERE operation_name = 'dense_retrieval' AND duration_ms IS NOT NULL")
+def latency_by_operation(spark, d):
+    """The metrics of one operation, in words."""
+    found = latency.by_operation(_log(spark, d), "dense_retrieval").where("duration_ms is not null")
+    return found.select("metric_id", "duration_ms", X.metric_text(F.col("operation_name"), F.col("duration_ms")).alias("shown"))
+
+
+_LAYERS = ("embedding", "retrieval", "context", "llm_response")
+_LAYER = f"CASE key % 4 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LAYERS))} END"
+_AT_END = "s AS (SELECT key, max({'ts': ts, 'seq': seq, 'op': op}) FILTER (op <> 'get') AS s, max(ts) FILTER (op = 'get') AS g FROM ops GROUP BY key)"
+_STALE = f"coalesce(g > s.s.ts AND epoch_us(g) - epoch_us(s.s.ts) > {CACHE_TTL * 1000000}, false)"
+
+
+@register(f"""WITH {_HITS}, {_AT_END}, z AS (SELECT {_LAYER} AS layer, count(CASE WHEN s.s.op = 'set' AND NOT {_STALE} THEN 1 END) AS size FROM s GROUP BY 1),
+h AS (SELECT {_LAYER} AS layer, sum(hit::BIGINT)::BIGINT AS hits, count(*) AS total FROM gets GROUP BY 1)
+SELECT layer, coalesce(hits, 0) AS hits, coalesce(total - hits, 0) AS misses, coalesce(total, 0) AS total, coalesce(round(100.0 * hits / total, 6), 0.0) AS hit_rate_percent, size FROM z LEFT JOIN h USING (layer)""")
+def cache_stats_by_layer(spark, d):
+    """The same log, its users divided over four layers."""
+    layer = F.element_at(F.array(*[F.lit(x) for x in _LAYERS]), (F.col("key") % 4 + 1).cast("int"))
+    return cache.stats(_ops(spark, d).withColumn("layer", layer), CACHE_TTL, ("layer",))
+
+
+@register(f"WITH {_OPS}, {_AT_END}, t AS (SELECT max(ts) AS now FROM ops) SELECT key, coalesce(s.s.op = 'set' AND epoch_us(now) - epoch_us(s.s.ts) <= {24 * CACHE_TTL * 1000000}, false) AS found FROM s, t")
+def cache_exists(spark, d):
+    """Whether each key stands in the cache when the log ends, with a day to live."""
+    ops = _ops(spark, d)
+    now = ops.agg(F.max("ts")).first()[0]
+    return cache.exists(ops, 24 * CACHE_TTL, F.lit(now)).withColumnRenamed("exists", "found")
+
+
+@register(f"""WITH all_ops AS (SELECT user_id AS key, ts, event_id AS seq, CASE WHEN event_type IN ('purchase', 'signup') THEN 'set' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op FROM events),
+c AS (SELECT max({{'ts': ts, 'seq': event_id}}) AS c FROM events WHERE event_id % 1000 = 0),
+{_HITS.replace(_OPS, "ops AS (SELECT all_ops.* FROM all_ops, c WHERE {'ts': ts, 'seq': seq} > c.c)")}, {_AT_END},
+z AS (SELECT count(*) AS size FROM s WHERE s.s.op = 'set' AND NOT {_STALE})
+SELECT coalesce(sum(hit::BIGINT), 0)::BIGINT AS hits, count(*) - coalesce(sum(hit::BIGINT), 0)::BIGINT AS misses, count(*) AS total, coalesce(round(100.0 * sum(hit::BIGINT) / count(*), 6), 0.0) AS hit_rate_percent, any_value(z.size) AS size FROM z LEFT JOIN gets ON true""")
+def cache_stats_after_clear(spark, d):
+    """The cache is cleared at every thousandth event; the statistics are those since the last of them."""
+    ops = _ops(spark, d)
+    return cache.stats(cache.since_clear(ops.withColumn("op", F.when(F.col("seq") % 1000 == 0, "clear").otherwise(F.col("op")))), CACHE_TTL)

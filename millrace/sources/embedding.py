@@ -27,8 +27,11 @@ def with_retries(call: Callable, argument, retries: int = RETRIES, wait: Callabl
             wait(2**attempt)
 
 
-def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", name: str = "embedding", batch: int = BATCH, retries: int = RETRIES) -> DataFrame:
-    """``df`` with a vector column; texts go in batches and in order, null and blank ones get null."""
+def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", name: str = "embedding", batch: int = BATCH, retries: int = RETRIES, clean: bool = False) -> DataFrame:
+    """``df`` with a vector column; texts go in batches, in order and as they stand, null ones get null.
+
+    With ``clean``, as for single texts, they are stripped first and blank ones get null.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
     at = df.columns.index(text)
 
@@ -36,10 +39,11 @@ def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text:
         for b in batches:
             texts = b.column(at).to_pylist()
             out: list = [None] * len(texts)
-            asked = [i for i, t in enumerate(texts) if t and t.strip()]
+            texts = [t.strip() or None if clean and t else t for t in texts]
+            asked = [i for i, t in enumerate(texts) if t is not None and not (clean and not t)]
             for a in range(0, len(asked), batch):
                 part = asked[a : a + batch]
-                for i, v in zip(part, with_retries(model, [texts[i].strip() for i in part], retries)):
+                for i, v in zip(part, with_retries(model, [texts[i] for i in part], retries)):
                     out[i] = v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, name])
 

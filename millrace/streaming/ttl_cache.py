@@ -18,19 +18,17 @@ def stream_hits(ops: DataFrame, ttl: int) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since = pd.Timestamp(state.get[0]) if state.exists and state.get[0] is not None else None
         for b in batches:  # each batch is one piece of the key's rows; none is held
-            out = []
-            for r in b.sort_values(["ts", "seq"]).itertuples():
-                if r.op == "set":
-                    since = r.ts
-                elif r.op == "delete":
-                    since = None
-                else:
-                    hit = since is not None and r.ts - since <= limit
-                    if not hit:
-                        since = None
-                    out.append((key[0], r.ts, r.seq, hit))
-            if out:
-                yield pd.DataFrame(out, columns=["key", "ts", "seq", "hit"])
+            b = b.sort_values(["ts", "seq"])
+            changes = b["ts"].where(b["op"] == "set")  # a delete is a change to nothing
+            known = b["op"].isin(["set", "delete"])
+            place = known.cumsum()
+            states = pd.concat([pd.Series([since], dtype=b["ts"].dtype), changes[known]], ignore_index=True)
+            at = states.iloc[place].set_axis(b.index)  # the state before a get is that of the last change
+            gets = b[b["op"] == "get"]
+            age = gets["ts"] - at[gets.index]
+            if len(gets):
+                yield pd.DataFrame({"key": key[0], "ts": gets["ts"], "seq": gets["seq"], "hit": age.notna() & (age <= limit)})
+            since = states.iloc[-1] if pd.notna(states.iloc[-1]) else None
         state.update((since.to_pydatetime() if since is not None else None,))
 
     return ops.groupBy("key").applyInPandasWithState(step, OUTPUT, "since timestamp", "append", GroupStateTimeout.NoTimeout)

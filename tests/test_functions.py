@@ -85,3 +85,14 @@ def test_citations(spark):
     assert r[0] == "Document: d.pdf | ID: c1" and r[1] == "d.pdf | p. 3 | S"
     assert "Page: N/A" in r[2] and "Section: N/A" in r[2]
     assert r[3].count("{context}") == 1 and r[3].count("{query}") == 1
+
+
+def test_hundredths(spark):
+    """Two decimals as the exact binary value rounds."""
+    import random
+
+    rng = random.Random(2)
+    values = [0.145, 1.515, 13.225, 0.125, 0.375, 2.5, -0.001, 0.0, 1e9 + 0.005, 999.995] + [round(rng.uniform(-3000, 3000), 3) for _ in range(2000)] + [rng.randrange(40000) / 8 for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = [r.t for r in df.select("i", X.metric_text(F.lit("op"), F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == [f"op: {x:.2f}ms" for x in values]

@@ -42,6 +42,15 @@ def test_bm25(spark, docs, asked, k):
     assert not any(q in "de" for q, _ in joined)
 
 
+def test_bm25_reads_the_postings_of_its_words_only(spark, docs, asked):
+    """The words reach the scan of the postings, and these are not shuffled to meet them."""
+    plan = bm25.scores(bm25.build(docs, "pos", "text"), asked, "query_id", "query")._jdf.queryExecution().executedPlan().toString()
+    postings = next(line for line in plan.split("\n") if "FileScan" in line and "tf" in line)
+    assert "PushedFilters: [" in postings and "In(term" in postings
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert all("query_id" in line for line in exchanges if "pos" in line) and "SortMergeJoin" not in plan.split("FileScan")[0]
+
+
 def test_bm25_saved(spark, docs, asked, tmp_path):
     index = bm25.build(docs, "pos", "text")
     index.save(str(tmp_path / "ix"))
@@ -94,6 +103,30 @@ def test_rerank(spark):
         rerank.rerank(c, top_k=-1)
 
 
+def test_lists_of_unlike_length(spark):
+    rows = spark.createDataFrame([("a", "milk", ["milk", "rice"], None), ("b", "rice", ["milk", "rice", "x"], ["m", "r"]), ("c", "x", [], ["y"]), ("d", "x", None, None)], "query_id string, query string, documents array<string>, doc_ids array<string>")
+    got = [(r.query_id, r.pos, r.score) for r in rerank.rerank(rerank.from_lists(rows)).orderBy("query_id", "rank").collect()]
+    assert got == [("a", "0", 1.0), ("a", "1", 0.0), ("b", "r", 1.0), ("b", "m", 0.0)]
+
+
+def test_marks_and_metadata_of_vectors(spark):
+    docs = spark.createDataFrame([("a", True), ("b", None), ("c", False), (None, False)], "document_id string, is_indexed boolean")
+    ids = spark.createDataFrame([("b",), ("b",), ("x",), (None,)], "document_id string")
+    assert {r.document_id: r.is_indexed for r in metadata.mark_indexed(docs, ids).collect()} == {"a": True, "b": True, "c": False, None: False}
+    entries = spark.createDataFrame([("c1", 1), ("c2", 1)], "chunk_id string, page int")
+    added, given = spark.createDataFrame([("c2",), ("c3",)], "chunk_id string"), spark.createDataFrame([("c2", 2), ("c9", 2)], "chunk_id string, page int")
+    assert sorted(map(tuple, dense.attach_metadata(entries, added, given).collect())) == [("c1", 1), ("c2", 2)]
+
+
+def test_cache_clear_and_exists(spark):
+    at = lambda s: datetime(2025, 1, 1) + timedelta(seconds=s)
+    ops = spark.createDataFrame([("a", at(0), 0, "set"), ("a", at(1), 1, "get"), ("a", at(2), 2, "clear"), ("a", at(3), 3, "get"), ("b", at(700), 4, "set"), ("b", at(1400), 5, "get"), ("c", at(1401), 6, "set"), ("c", at(1402), 7, "delete")], "key string, ts timestamp, seq long, op string")
+    s = cache.stats(cache.since_clear(ops), 800).first()
+    assert (s.hits, s.misses, s.size) == (1, 1, 1)
+    assert {r.key: r.exists for r in cache.exists(ops, 800, F.lit(at(1600))).collect()} == {"a": False, "b": False, "c": False}
+    assert {r.key: r.exists for r in cache.exists(ops, 900, F.lit(at(1600))).collect()} == {"a": False, "b": True, "c": False}
+
+
 def test_route(spark):
     cases = {"HACCP what is": "hybrid", "what is rice": "dense", "whyever": "dense", "a and b and c and d": "bm25", "a and b or c": "x", 'say "rice"': "bm25", "rice": "x", "cross-contamination": "hybrid"}
     df = spark.createDataFrame([(k,) for k in cases], "q string")

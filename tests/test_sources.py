@@ -30,7 +30,30 @@ def test_metadata_json(spark, tmp_path):
     assert store.load_metadata_json(spark, str(p), kind).count() == 0
     df = spark.createDataFrame([("c", datetime(2025, 1, 1))], "chunk_id string, at timestamp_ntz")
     store.save_metadata_json(df, str(tmp_path / "out"))
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"chunk_id": "c", "at": "2025-01-01T00:00:00"}
+    for _ in range(3):  # written anew over itself
+        store.save_metadata_json(df, str(tmp_path / "out"))
+        assert [tuple(r) for r in store.load_metadata_json(spark, str(tmp_path / "out"), "at timestamp_ntz, none string").collect()] == [("c", datetime(2025, 1, 1), None)]
+    p.write_text(json.dumps({"c1": {"document_id": "d", "page": 2}, "c2": {"document_id": None, "page": None}}, indent=2))
+    assert {tuple(r) for r in store.load_metadata_json(spark, str(p), kind).collect()} == {("c1", "d", 2), ("c2", None, None)}
+
+
+def test_replacing_keeps_the_old_until_the_new_is_whole(spark, tmp_path):
+    path = str(tmp_path / "v")
+    one, two = (spark.createDataFrame([(x, i, [1.0], False) for i in range(n)], store.VECTORS) for x, n in (("a", 1), ("b", 2)))
+    store.save(one, path)
+    reader = store.load_or_create(spark, path)
+
+    def broken(to):
+        two.write.parquet(to)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.replace(spark, path, broken)
+    assert store.load_or_create(spark, path).count() == 1
+    store.save(two, path)
+    assert reader.count() == 1 and store.load_or_create(spark, path).count() == 2
+    store.save(store.load_or_create(spark, path).unionByName(one), path)  # out of itself
+    assert store.load_or_create(spark, path).count() == 3
 
 
 def test_files(spark, tmp_path):
@@ -48,13 +71,23 @@ def test_cache_table(spark, tmp_path):
     c.put(spark.createDataFrame([("k", "x")], "key string, value string"), "context", -1)
     assert {tuple(r) for r in c.get(keys, "embedding").collect()} == {("k", "2"), ("gone", None)}
     assert {tuple(r) for r in c.get(keys, "context").collect()} == {("k", None), ("gone", None)}
+    assert {tuple(r) for r in c.exists(keys, "embedding").collect()} == {("k", True), ("gone", False)}
     c.compact("context")
-    assert c.rows().count() == 2
+    c.compact("embedding")
+    assert (c.rows("context").count(), c.rows("embedding").count()) == (0, 1)
+    c.delete(keys, "embedding")
+    assert not any(r.exists for r in c.exists(keys, "embedding").collect())
+    c.put(spark.createDataFrame([("k", "3")], "key string, value string"), "embedding", 1000)
+    assert {tuple(r) for r in c.get(keys, "embedding").collect()} == {("k", "3"), ("gone", None)}
+    c.clear("embedding")
+    assert c.rows("embedding").count() == 0
 
 
 def test_embed(spark):
     df = spark.createDataFrame([(1, " ab "), (2, None), (3, " "), (4, "abc")], "i int, text string").coalesce(1)
     got = {r.i: r.embedding for r in embedding.embed(df, lambda ts: [[float(len(t))] for t in ts], batch=1).collect()}
+    assert got == {1: [4.0], 2: None, 3: [1.0], 4: [3.0]}
+    got = {r.i: r.embedding for r in embedding.embed(df, lambda ts: [[float(len(t))] for t in ts], batch=1, clean=True).collect()}
     assert got == {1: [2.0], 2: None, 3: None, 4: [3.0]}
     waits = []
 
@@ -74,13 +107,21 @@ def test_settings(tmp_path):
         config.load_settings({"dense_top_k": "many"}, None)
 
 
-def test_logs(tmp_path):
+def test_logs(spark, tmp_path):
     path = tmp_path / "log"
     logger = logs.get_logger("t1", path=str(path))
     assert logs.get_logger("t1") is logger and len(logger.handlers) == 1
     logs.log(logger, logging.INFO, "hi", count=3, level="custom")
     line = json.loads(path.read_text())
-    assert (line["message"], line["count"], line["level"]) == ("hi", 3, "custom")
+    assert (line["message"], line["count"], line["level"], line["function"]) == ("hi", 3, "custom", "test_logs")
+    try:
+        raise KeyError("gone")
+    except KeyError:
+        logger.exception("failed 100%")
+    with path.open("a") as f:
+        f.write("no json\n")
+    got = [(r.level, r.message, (r.exception or "").split("\n")[-1]) for r in logs.read_logs(spark, str(path)).orderBy("timestamp").collect()]
+    assert got == [("custom", "hi", ""), ("ERROR", "failed 100%", "KeyError: 'gone'")]
 
 
 def test_errors():
