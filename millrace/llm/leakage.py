@@ -61,7 +61,13 @@ def words(text: str) -> list[str]:
 
             _table.update({ord(c): "".join(x for x in s if not unicodedata.combining(x)) for c, s in mapping()[0].items()})
             _table.update({0x200C: "", 0x200D: "", 0x2013: " ", 0x2014: " "})
-        text = text.translate(_table)
+            _table.update({k: v.replace("\u2013", " ").replace("\u2014", " ") for k, v in _table.items()})
+        mapped = [c for c in set(text) if ord(c) in _table]
+        if len(mapped) > 64:
+            text = text.translate(_table)
+        else:  # a few replacements cost less than a look-up a character; no replacement holds a mapped character
+            for c in mapped:
+                text = text.replace(c, _table[ord(c)])
     return _DROP.sub("", text.lower()).split()
 
 
@@ -121,10 +127,15 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def _enough(known: np.ndarray) -> bool:
-    """Could words of which these stand in the document hold a long passage: some run of ``n >= LONG_RUN`` words with ``n // ONE_IN`` unknown at most?"""
+def _enough(known: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Owners whose words, of which these stand in the document, could hold a long passage: some run of ``n`` words of one
+    owner, at least ``LONG_RUN``, with ``n // ONE_IN`` unknown at most. Runs of twice that have a half that could too."""
     at = np.concatenate(([0], np.cumsum(known)))
-    return any((at[n:] - at[:-n]).max() >= n - n // ONE_IN for n in range(LONG_RUN, len(known) + 1))
+    found = []
+    for n in range(LONG_RUN, min(2 * LONG_RUN, len(known) + 1)):
+        first = np.flatnonzero((at[n:] - at[:-n] >= n - n // ONE_IN) & (owner[n - 1 :] == owner[: len(owner) - n + 1]))
+        found.append(owner[first])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def holds(item: np.ndarray, doc: np.ndarray) -> bool:
@@ -147,7 +158,7 @@ def holds(item: np.ndarray, doc: np.ndarray) -> bool:
     added = np.where(f < m, x + at(e, f + 1), 0)
     if max(v.max(initial=0) for v in (changed, dropped, added)) >= RUN:
         return True
-    if not _enough(same.any(axis=1)):
+    if not len(_enough(same.any(axis=1), np.zeros(n, np.int64))):
         return False
     # longest[e][i, j]: most item words of an alignment that ends before (i, j) with e edits
     columns = np.flatnonzero(same.any(axis=0))
@@ -174,13 +185,13 @@ def _possible(index: Index, doc: np.ndarray, candidates: np.ndarray) -> np.ndarr
     present = np.zeros(len(index.vocabulary) + 1, bool)
     present[doc] = True
     present[0] = False
-    out = []
-    for c in candidates:
-        known = np.concatenate(([0], np.cumsum(present[index.items[c]])))
-        short = (known[RUN:] - known[:-RUN]).max() >= RUN - 1
-        if short or _enough(present[index.items[c]]):
-            out.append(c)
-    return np.array(out, dtype=np.int64)
+    if not len(candidates):
+        return np.zeros(0, np.int64)
+    known = present[np.concatenate([index.items[c] for c in candidates])]
+    owner = np.repeat(np.asarray(candidates), [len(index.items[c]) for c in candidates])
+    at = np.concatenate(([0], np.cumsum(known)))
+    short = np.flatnonzero((at[RUN:] - at[:-RUN] >= RUN - 1) & (owner[RUN - 1 :] == owner[: len(owner) - RUN + 1]))
+    return np.union1d(owner[short], _enough(known, owner)).astype(np.int64)
 
 
 def scan(index: Index, docs: list[tuple[object, str]]) -> Iterator[tuple[object, object]]:
