@@ -134,6 +134,7 @@ NEAR = 60
 STEP, _APART, _MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 _BESIDE = ".,;:!?؟،()[]«»\"'"
 _MARKS = re.compile(r"[^\w]+")
+_WORDY, _ARABIC, _SPECIAL = re.compile(r"[^\W_]"), re.compile("[\u0600-ۿ]"), re.compile(f"[{''.join(_LETTERS.values())}]")
 _SENTENCE = re.compile(r"(?<=[.!?؟])\s+|\n+|(?<=[:;])\s+")
 _ITEM = re.compile(r"\s*(?:[-*•–·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _SOURCE = re.compile(r"(?:\n|^|(?<=[.!?؟»\"\]])\s)\s*\(?(?:source|sources|quelle|quellen|fuente|fuentes|المصدر|المصادر|ref|référence|reference|referencia|see|siehe|voir|véase)\b\s*[:：.][^\n]{0,80}\Z", re.I)
@@ -145,7 +146,8 @@ _UNIT = re.compile(r"[\W_]*(?:[<>≤≥~±]?\s*[-+]?\d[\d.,/:–-]*\s*)(?:[^\W\d
 
 def bare(text: str) -> str:
     """Words only: lower case, every other character a space."""
-    return _MARKS.sub(" ", unicodedata.normalize("NFKC", text).lower()).replace("_", " ").strip()
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _MARKS.sub(" ", plain.lower()).replace("_", " ").strip()
 
 
 @functools.cache
@@ -181,6 +183,8 @@ def _votes() -> dict[str, dict[str, float]]:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if _WORDY.search(answer):  # something is said, if it is no placeholder among marks
+        return (len(answer) < 100 or len(_MARKS.sub("", answer)) < 100) and bare(answer) in PLACEHOLDERS
     visible = "".join(c for c in answer if unicodedata.category(c)[0] not in "CZ")
     return bare(visible) == "" and not any(unicodedata.category(c)[0] in "LN" for c in visible) or bare(answer) in PLACEHOLDERS
 
@@ -294,17 +298,19 @@ def copies(answer: str, query: str | None) -> bool:
 def language(text: str) -> dict[str, float]:
     """Votes by language."""
     got: dict[str, float] = {}
+    marks: dict[str, int] = {}
     votes = _votes()
-    arabic = sum("\u0600" <= c <= "ۿ" for c in text)
-    if arabic * 2 > sum(c.isalpha() for c in text):
+    plain = text.isascii()
+    arabic = 0 if plain else len(_ARABIC.findall(text))
+    if arabic and arabic * 2 > sum(map(str.isalpha, text)):
         return {"ar": float(arabic)}
     for w in bare(text).split():
         for lang, v in votes.get(w, {}).items():
             got[lang] = got.get(lang, 0) + v
-    low = text.lower()
+    for letter in () if plain else _SPECIAL.findall(text.lower()):
+        marks[letter] = marks.get(letter, 0) + 1
     for lang, letters in _LETTERS.items():
-        n = sum(low.count(c) for c in letters)
-        if n:
+        if n := sum(marks.get(c, 0) for c in letters) if marks else 0:
             got[lang] = got.get(lang, 0) + min(2.0, 0.4 * n)
     return got
 
