@@ -1,11 +1,11 @@
 """Languages of texts, of their passages and of whole documents, against their labels (problem 4).
 
 Method: string-kernel classification. Two texts are compared by the blended-spectrum presence kernel:
-the share of character n-grams (1 to ``ORDERS``) that both contain, each counted once, normalised by
+the share of character n-grams (1 to ``ORDERS``, hashed into ``FEATURES``) that both contain, each counted once, normalised by
 both sizes. Kernel ridge regression, one against the rest, is fitted on Nystroem features of
 ``LANDMARKS`` labelled samples. The kernel is linear in the presence vector, so landmarks and weights
-fold into one matrix of n-gram weights, and a batch of passages is scored by one product of its sparse
-presence matrix with that matrix.
+fold into one matrix of n-gram weights, and a batch of passages is scored by the product of its sparse
+presence matrix with that matrix (gathered rows, added by passage).
 
 Passages are sentences and lines; a passage with too few letters takes the language of its neighbour.
 A text's language is that of most letters; a language stands in a mixed text if a run of its passages
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from millrace.plans.runtime import checkpoint, spread
 
 ORDERS = 3
-FEATURES = 1 << 15
+#: Bits of an n-gram's hash: n-grams that share a feature count as one, which is where this differs from the exact kernel.
+FEATURE_BITS = 15
+FEATURES = 1 << FEATURE_BITS
 LANDMARKS = 120
 RIDGE = 0.05
 MAX_SAMPLES = 20_000
@@ -106,11 +108,11 @@ def presence(codes: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.nda
             break
         h = h[:size] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
         whole = (passage[:size] == passage[n - 1 :]) & ((c[:size] != 0) | (c[n - 1 :] != 0))
-        feature = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
-        keys.append((passage[:size].astype(np.int64) << 15 | feature.astype(np.int64))[whole])
+        feature = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)
+        keys.append((passage[:size].astype(np.int64) << FEATURE_BITS | feature.astype(np.int64))[whole])
     k = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     k = k[np.concatenate(([True], k[1:] != k[:-1]))] if len(k) else k
-    return k >> 15, k & (FEATURES - 1)
+    return k >> FEATURE_BITS, k & (FEATURES - 1)
 
 
 class Classifier:
