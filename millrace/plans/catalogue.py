@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import citations as C
 from millrace.functions import text as X
+from millrace.functions import vectors as V
 from millrace.operators import bm25, cache, context, dense, documents, fusion, latency, metadata, queryproc, rerank
 from millrace.plans.runtime import table
 from millrace.streaming import latency as stream_latency
@@ -461,6 +462,12 @@ def normalize_whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("text"))
 
 
+@register(f"WITH {_CHUNKS} SELECT chunk_id, coalesce(len(embedding) > 0, false) AS embedded FROM latest")
+def chunk_embedded(spark, d):
+    """Whether each chunk has a vector."""
+    return _chunks(spark, d, ["embedding"]).select("chunk_id", V.has_embedding(F.col("embedding")).alias("embedded"))
+
+
 @register(f"WITH {_CHUNKS} SELECT chunk_id, printf('%s_chunk_%04d', document_id, chunk_index) AS made, md5(chunk_id) || '.cache' AS cache_file FROM latest")
 def chunk_ids(spark, d):
     return _chunks(spark, d, ["document_id", "chunk_index"]).select("chunk_id", X.chunk_id(F.col("document_id"), F.col("chunk_index")).alias("made"), X.cache_file(F.col("chunk_id")).alias("cache_file"))
