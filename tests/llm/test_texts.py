@@ -54,7 +54,7 @@ def test_runs_of_arrays_and_of_words_agree():
     assert {r: (e, m) for r, e, m in zip(runs.tolist(), end.tolist(), mid.tolist())} == want
 
 
-# Wordings that were written without a look at the stems, and sentences that only look like them.
+# Wordings that were written after the stems, by the same author, and not used to change them; and sentences that only look like them.
 WITHHELD = ["I can't advise on that.", "We are not allowed to discuss this topic.", "That question goes beyond what my instructions cover.", "My guidelines prevent me from giving a recommendation here.", "The documents I was given do not cover this point.", "I'm afraid I don't know.", "There's no way for me to tell.", "I have no knowledge of this subject. Please speak to your supervisor.", "This assistant does not provide medical advice.", "I refuse to reply to that.", "Je n'ai pas le droit d'en parler.", "Nous ne savons pas.", "Cela sort de mon domaine.", "Les documents ne contiennent aucune réponse.", "Je m'abstiens de tout commentaire.", "Je ne connais pas la réponse.", "Impossible pour moi de vous renseigner.", "No tengo permiso para hablar de eso.", "No conozco la respuesta.", "Mis instrucciones me impiden contestar.", "Las fuentes no mencionan este tema.", "Eso excede mi función.", "Me abstengo de opinar.", "Das weiß ich leider nicht.", "Darüber darf ich keine Auskunft geben.", "Meine Vorgaben hindern mich daran zu antworten.", "In den Unterlagen wird das nicht erwähnt.", "Das übersteigt meine Zuständigkeit.", "Hierzu kann ich Ihnen keinen Rat geben.", "لا أعرف الجواب.", "ليس بوسعي الرد على هذا السؤال.", "المصادر لا تذكر شيئا عن ذلك.", "هذا يتجاوز صلاحياتي.", "تعليماتي تمنعني من الإجابة.", "لست مخولا لي إبداء الرأي."]
 NO_REFUSAL = ["We moved the walk-in freezer away from the dry store, and norovirus has not been seen since.", "Nobody at Pelham could say who had signed the sheet.", "Do not serve it to guests.", "No answer sheet is needed for this step.", "My team cleans the belt every two hours; never use bleach.", "The document does not need a signature.", "Please ask the manager to sign the form after 12 hours.", "Il ne faut pas ouvrir la porte.", "Nadie en la planta sabía quién había firmado el parte.", "Die Tür darf nicht offen bleiben.", "لا تضع الحليب فوق الأطعمة.", "We found nothing in the 12 samples.", "Staff cannot enter without a cap."]
 
