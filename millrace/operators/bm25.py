@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -52,20 +52,27 @@ class BM25Index:
         return BM25Index(*(spark.read.parquet(current(spark, f"{path}/{f.name}")) for f in dataclasses.fields(BM25Index)))
 
 
+def words(docs: DataFrame, column: str) -> Column:
+    """The words of a column of texts, or of one that holds words already."""
+    return F.col(column) if isinstance(docs.schema[column].dataType, T.ArrayType) else tokenize(F.col(column))
+
+
 def build(docs: DataFrame, pos: str, text: str, keep: bool = True, statistics_only: bool = False) -> BM25Index:
     """Index of ``docs``; ``pos`` is unique and orders equal scores. Null texts are documents without words.
+    ``text`` may hold the words of :func:`tokenize` instead of texts.
 
     With ``keep`` the postings and the small tables are checkpointed, so that queries do not read the texts again;
     ``statistics_only`` leaves the postings out of that, for :func:`topk_scan`, which does not use them.
     """
-    words = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", tokenize(F.col("text")).alias("words"))
-    lengths = words.select("pos", F.size("words").alias("dl"))
-    postings = words.select("pos", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+    rows = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text")))
+    split = rows.select("pos", words(rows, "text").alias("words"))
+    lengths = split.select("pos", F.size("words").alias("dl"))
+    postings = split.select("pos", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
     if keep and not statistics_only:
         postings, lengths = checkpoint(postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos")), checkpoint(lengths)
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
     else:  # one row per document and word, counted before the shuffle
-        df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = split.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if keep:
         size = checkpoint(size)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators import bm25, dense
-from millrace.plans.errors import RetrievalError
+from millrace.operators import bm25, dense, scan
+from millrace.plans.errors import BM25RetrievalError, DenseRetrievalError, RetrievalError
 
 CONSTANT = 60
 
@@ -41,10 +41,15 @@ def rrf(lists: list[DataFrame], constant: int = CONSTANT, k: int | None = None)
 def hybrid(index: bm25.BM25Index, vectors: DataFrame, queries: DataFrame, pos: str, vector: str, k: int = 30, threshold: float | None = None, dense_k: int = 50, bm25_k: int = 50, constant: int = CONSTANT, query_id: str = "query_id", text: str = "query", query_vector: str = "query_embedding", dim: int = 64, docs_text: str | None = None) -> DataFrame:
     """Both rankings of each query, fused: vectors first, so their order decides ties.
 
-    With ``docs_text`` (the column of ``vectors`` that holds the text) the words are matched by a scan, for many queries.
+    With ``docs_text`` (the column of ``vectors`` that holds the text, or its words) all is done in one scan (``scan.py``), for many queries.
     """
     if k < 0:
         raise RetrievalError("k must not be negative")
+    if docs_text is not None:
+        if dense_k < 0:
+            raise DenseRetrievalError("k must not be negative")
+        if bm25_k < 0:
+            raise BM25RetrievalError("k must not be negative")
+        return scan.hybrid(index, vectors, queries, pos, vector, docs_text, query_id, text, query_vector, k, dense_k, bm25_k, threshold, constant, dim)
     near = dense.search(vectors, queries, pos, vector, query_id, query_vector, dense_k, threshold, dim)
-    words = bm25.topk(index, queries, query_id, text, bm25_k) if docs_text is None else bm25.topk_scan(index, vectors, queries, pos, docs_text, query_id, text, bm25_k)
-    return rrf([near, words], constant, k)
+    return rrf([near, bm25.topk(index, queries, query_id, text, bm25_k)], constant, k)

@@ -12,7 +12,7 @@ from millrace.functions import citations as C
 from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators import bm25, cache, context, dense, documents, fusion, latency, metadata, queryproc, rerank
-from millrace.plans.runtime import table
+from millrace.plans.runtime import checkpoint, table
 from millrace.streaming import latency as stream_latency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,9 +219,10 @@ both_ AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pos, b
 
 @register(f"{_HYBRID} SELECT query_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST) AS rank FROM both_ QUALIFY rank <= 30")
 def hybrid_topk(spark, d):
-    chunks = _chunks(spark, d, ["text", "embedding"])
-    index = bm25.build(chunks, "chunk_id", "text", statistics_only=True)
-    found = fusion.hybrid(index, chunks, _query_vectors(spark, d), "chunk_id", "embedding", k=30, docs_text="text")
+    latest = _chunks(spark, d, ["text", "embedding"]).select("chunk_id", "embedding", X.tokenize(F.col("text")).alias("words"))
+    chunks = checkpoint(latest)  # read for the statistics and for the scan
+    index = bm25.build(chunks, "chunk_id", "words", statistics_only=True)
+    found = fusion.hybrid(index, chunks, _query_vectors(spark, d), "chunk_id", "embedding", k=30, docs_text="words")
     return found.select("query_id", "pos", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
