@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,7 @@ class Best:
         if not self.new:
             return False
         q, s, p = (np.concatenate(x) for x in zip((self.q, self.s, self.p), *self.new))
-        order = np.lexsort((p, -s, q))
+        order = np.lexsort((-s, q.astype(np.uint16) if self.n <= 65536 else q))  # stable: equal scores stay in the order of positions
         q, s, p = q[order], s[order], p[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         keep = place < self.k
@@ -279,20 +280,25 @@ def hybrid(index: bm25.BM25Index, docs: DataFrame, queries: DataFrame, pos: str,
     asked = queries.select(F.col(query_id).alias("query_id"), _usable(query_vector, dim).alias("v"), tokenize(F.col(query)).alias("words"))
     wanted = asked.select(F.explode("words").alias("term")).distinct()
     known = index.terms.join(wanted, "term", "left_semi").orderBy(F.desc("df"), "term").select("term", "idf")  # words of the queries, the commonest first
-    number, idf = {}, []
+    terms, idf = [], []
     for r in known.toLocalIterator():
-        number[r["term"]] = len(idf)
+        terms.append(r["term"])
         idf.append(r["idf"])
-    sent = spark.sparkContext.broadcast((number, np.array(idf, np.float64)))
+    sent = spark.sparkContext.broadcast((pa.array(terms, pa.string()), np.array(idf, np.float64)))
     avgdl = index.corpus.first()["avgdl"] or 1.0
     name, kind = asked.schema["query_id"].dataType, docs.schema[pos].dataType
     floats, ints = T.ArrayType(T.FloatType()), T.ArrayType(T.IntegerType())
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, _ = sent.value
+        terms, _ = sent.value
         for batch in batches:
-            bags = [sorted(number[w] for w in ws if w in number) for ws in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int32())), pa.array([len(ws) for ws in batch.column(2).to_pylist()], pa.int32())], ["id", "v", "bag", "dl"])
+            words = batch.column(2)
+            size = words.value_lengths().to_numpy()
+            t = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy()
+            row, t = np.repeat(np.arange(len(size)), size)[t >= 0], t[t >= 0]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(size))))).astype(np.int32)
+            bags = pa.ListArray.from_arrays(pa.array(ends), pa.array(t[np.lexsort((t, row))], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bags, pa.array(size, pa.int32())], ["id", "v", "bag", "dl"])
 
     shape = lambda t: T.StructType([T.StructField("id", t), T.StructField("v", floats), T.StructField("bag", ints), T.StructField("dl", T.IntegerType())])
     cores = spark.sparkContext.defaultParallelism
